@@ -43,7 +43,7 @@ def slices(batch: pa.RecordBatch, text: str, limit: int = SLICE_BYTES) -> Iterat
         yield batch.slice(at)
 
 
-def map_slices(df: DataFrame, columns: list[str], text: str, schema: str, make: Callable[[], Callable[[pa.RecordBatch], dict]]) -> DataFrame:
+def map_slices(df: DataFrame, columns: list[str], text: str, schema: str, make: Callable[[], Callable[[pa.RecordBatch], dict]], limit: int = SLICE_BYTES) -> DataFrame:
     """mapInArrow over `columns`; `make` runs once a task and returns what turns a slice into the output columns.
 
     Only `columns` are read, so that other columns, whatever their names, never reach Python.
@@ -57,7 +57,7 @@ def map_slices(df: DataFrame, columns: list[str], text: str, schema: str, make:
         types = [(name, to_arrow_type(kind)) for name, kind in fields]
         step = make()
         for batch in batches:
-            for part in slices(batch, text):
+            for part in slices(batch, text, limit):
                 out = step(part)
                 yield pa.RecordBatch.from_arrays([x if isinstance(x := out[name], pa.Array) else pa.array(x, kind) for name, kind in types], [name for name, _ in types])
 
