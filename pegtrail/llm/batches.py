@@ -9,16 +9,20 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pegtrail.session import importable
+
 #: Most UTF-8 bytes of text that a Python worker holds as one slice (a single longer text is a slice of its own).
 SLICE_BYTES = 2 << 20
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
 def small_batches(spark: SparkSession) -> None:
     """Bound what one Arrow batch holds, for texts are long: rows here, bytes where the version has it."""
+    importable(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
 

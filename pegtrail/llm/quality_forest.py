@@ -1,9 +1,9 @@
 """Quality rules by an isolation forest over rule statistics.
 
 Each whole text gives rule statistics: words, letters a word, symbols, repeated lines, words in repeated windows,
-capitals, digits. A forest of random trees, each grown on its own bounded sample of rows as the method asks, scores
+capitals, words equal to the one before. A forest of random trees, each grown on its own bounded sample of rows as the method asks, scores
 every document by the mean length of its path: the shorter, the more anomalous. The threshold is the one that best
-separates the labelled rows, counted over all of them, among those that lose at most `lost` of the good ones.
+separates the labelled rows, counted over all of them, among thresholds that lose at most `lost` of the good ones.
 
 The base rules (too few words, too many repeated ones) fail a document whatever the forest says.
 
@@ -31,9 +31,12 @@ TREES, GROWN_ON = 128, 256
 #: Score steps in which labelled rows are counted.
 STEPS = 2000
 #: Most of the good labelled documents that the threshold may reject.
-LOST = 0.002
+LOST = 0.005
 
-_STATS = ("word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_capitals", "n_digits")
+#: Words that a text's rates are drawn towards the sample's rates by, so that short texts aren't anomalous by chance.
+PRIOR_WORDS = 60
+
+_STATS = ("word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_capitals", "n_same_words")
 _SYMBOLS = np.zeros(256, bool)
 _SYMBOLS[[ord(c) for c in "#*$%&|<>"]] = True
 
@@ -79,11 +82,13 @@ def rule_statistics(df: DataFrame, key: str = "doc_id", text: str = "text") -> D
             data, text_at = text_bytes(part.column(1))
             words = Words(data, text_at)
             sums = lambda flags: np.diff(np.concatenate([[0], np.cumsum(flags, dtype=np.int64)])[text_at])
+            hashes = words.hashes()
+            same = np.concatenate([[False], hashes[1:] == hashes[:-1]]) & (words.place() > 0) if len(words) else np.zeros(0, bool)
             space = np.isin(data, np.frombuffer(b" \t\n\x0b\x0c\r", np.uint8))
             dup, lines = dup_lines(data, text_at)
             return {
                 key: part.column(0), "n_words": np.diff(words.first), "word_chars": sums(((data & 0xC0) != 0x80) & ~space), "n_symbols": sums(_SYMBOLS[data]), "n_dup_lines": dup,
-                "n_repeat_words": repeat_words(words), "n_lines": lines, "n_capitals": sums((data >= 65) & (data <= 90)), "n_digits": sums((data >= 48) & (data <= 57)),
+                "n_repeat_words": repeat_words(words), "n_lines": lines, "n_capitals": sums((data >= 65) & (data <= 90)), "n_same_words": np.bincount(words.text(), same, len(part)).astype(np.int64),
             }
 
         return step
@@ -91,10 +96,18 @@ def rule_statistics(df: DataFrame, key: str = "doc_id", text: str = "text") -> D
     return map_slices(df, [key, text], text, f"`{key}` {kind}, n_words long, " + ", ".join(f"{c} long" for c in _STATS), make)
 
 
-def rates(n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines, n_capitals, n_digits) -> np.ndarray:
-    """What the trees split on: the statistics as rates, so that a text's length says little."""
-    words, chars = np.maximum(n_words, 1), np.maximum(word_chars, 1)
-    return np.stack([word_chars / words, n_symbols / words, n_dup_lines / np.maximum(n_lines, 1), n_repeat_words / words, n_capitals / chars, n_digits / chars], 1).astype(np.float64)
+def splits_on(stats: np.ndarray, means: np.ndarray | None = None) -> np.ndarray:
+    """What the trees split on: letters a word, symbols a word, capitals a letter, same words a word, drawn towards `means`.
+
+    `stats` has n_words and the statistics as columns. Repeated lines and windows are the base rules' matter.
+    """
+    n_words, word_chars, n_symbols, _, _, _, n_capitals, n_same = stats.T.astype(np.float64)
+    of = np.stack([word_chars, n_symbols, n_capitals, n_same], 1)
+    by = np.stack([n_words, n_words, word_chars, n_words], 1)
+    if means is None:
+        return of.sum(0) / np.maximum(by.sum(0), 1)
+    prior = PRIOR_WORDS * np.array([1, 1, means[0], 1])
+    return (of + prior * means) / (by + prior)
 
 
 def expected_path(n: int) -> float:
@@ -173,12 +186,14 @@ def judge(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     sample = stats.where(~F.col("base_failed")).select(*names, F.xxhash64(F.col(key), F.lit("forest")).alias("h")).orderBy("h", *names).limit(TREES * GROWN_ON).select(*names).collect()
     if not sample:
         return stats.select(key, *names, "base_failed", F.lit(0.0).alias("score"), F.lit(False).alias("kept"))
-    forest = Forest(rates(*np.array([list(r) for r in sample], np.float64).T))
+    rows = np.array([list(r) for r in sample], np.float64)
+    means = splits_on(rows)
+    forest = Forest(splits_on(rows, means))
     kind = stats.schema[key].dataType.simpleString()
 
     def score(batches):
         for batch in batches:
-            found = forest.score(rates(*[batch.column(i).to_numpy(zero_copy_only=False).astype(np.float64) for i in range(1, 1 + len(names))]))
+            found = forest.score(splits_on(np.stack([batch.column(i).to_numpy(zero_copy_only=False) for i in range(1, 1 + len(names))], 1), means))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found)], [*batch.schema.names, "score"])
 
     scored = stats.select(key, *names, "base_failed").mapInArrow(score, f"`{key}` {kind}, " + ", ".join(f"{c} long" for c in names) + ", base_failed boolean, score double").checkpoint()

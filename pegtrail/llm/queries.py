@@ -61,8 +61,14 @@ QUERIES = {f.__name__: f for f in (op1_mpeg_audio, op2_quality_forest, op3_ngram
 ORACLE = {"op5_mixing": mixing.ORACLE}
 
 
+def pipeline(spark, sf_dir):
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries():
-    return dict(QUERIES)
+    return QUERIES | {"pipeline": pipeline}
 
 
 def oracle_sql():
