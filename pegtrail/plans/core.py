@@ -1,6 +1,308 @@
-"""Competition queries over the chain view."""
+"""Competitions, their statistics, and the aggregations and joins over the chain view."""
 
 from __future__ import annotations
 
-QUERIES = {}
-ORACLE = {}
+from pyspark.sql import functions as F
+
+from pegtrail.operators import competitions as C
+from pegtrail.operators import joins as J
+from pegtrail.operators import rollups as R
+from pegtrail.plans import chain_view as V
+
+HALF = 600
+THRESHOLDS = [10, 30, 60, 120, 300, 600, 900, 1200]
+
+
+def _comp(spark, sf):
+    return C.competitions(V.blocks(spark, sf), V.pools(spark, sf))
+
+
+COMP = """
+, comp as (
+  select s.height as btc_height, s.hash as stale_hash, c.hash as canonical_hash, c.time - s.time as delta_s, s.time as stale_time, sp.slug as stale_slug, cp.slug as canonical_slug
+  from block s join block c on s.competitor_hash = c.hash and s.height = c.height left join pool sp on sp.pool_id = s.pool_id left join pool cp on cp.pool_id = c.pool_id
+  where s.kind = 'stale' and c.kind = 'canonical')
+"""
+ACTIVE = "revoked_at is null and parent_kind <> 'near' and pow_ok"
+
+
+def _times(spark, sf):
+    return V.events(spark, sf).select(F.col("discovered_at").alias("t")).distinct()
+
+
+def _heights(block):
+    """Times on the scale of the blocks: one for every 50th order."""
+    return block.where("kind = 'canonical' and height % 50 = 0").select((F.col("time") + 300).alias("t"))
+
+
+def _windows(block):
+    """A window of 33 heights around each stale block, cut at 0."""
+    return block.where("kind = 'stale'").select(F.col("hash").alias("window_id"), F.greatest(F.col("height") - 16, F.lit(0)).alias("low"), (F.col("height") + 16).alias("high"))
+
+
+def competitions(spark, sf):
+    return _comp(spark, sf)
+
+
+def delta_histogram(spark, sf):
+    return C.delta_histogram(_comp(spark, sf), HALF)
+
+
+def delta_stats(spark, sf):
+    return C.delta_stats(_comp(spark, sf), HALF)
+
+
+def delta_coverage(spark, sf):
+    return C.delta_coverage(_comp(spark, sf), THRESHOLDS)
+
+
+def delta_ecdf(spark, sf):
+    return C.delta_ecdf(_comp(spark, sf))
+
+
+def delta_table(spark, sf):
+    return C.delta_table(C.delta_histogram(_comp(spark, sf), HALF, 60))
+
+
+def delta_outliers(spark, sf):
+    return C.delta_outliers(_comp(spark, sf), HALF, 50).select("stale_hash", "delta_s")
+
+
+def competitions_of_years(spark, sf):
+    return C.filter_competitions(_comp(spark, sf), [2009]).groupBy("stale_slug").agg(F.count("*").alias("n"), F.sum("delta_s").alias("delta_sum"))
+
+
+def parent_rollup(spark, sf):
+    return R.parent_rollup(V.events(spark, sf), V.sources(spark))
+
+
+def build_proofs(spark, sf):
+    p = R.build_proofs(V.events(spark, sf))
+    return p.withColumn("ids", F.array_join(F.transform("ids", lambda x: x.cast("string")), ","))
+
+
+def representative(spark, sf):
+    return R.representative(V.events(spark, sf))
+
+
+def source_health(spark, sf):
+    return R.source_health(V.events(spark, sf), V.blocks(spark, sf), V.sources(spark))
+
+
+def health_diff(spark, sf):
+    e, b, s = V.events(spark, sf), V.blocks(spark, sf), V.sources(spark)
+    return R.health_diff(R.source_health(e.where("child_height % 2 = 0"), b, s), R.source_health(e, b, s))
+
+
+def invalid_unknown(spark, sf):
+    return R.invalid_unknown(V.events(spark, sf), V.blocks(spark, sf))
+
+
+def display_miner(spark, sf):
+    return R.display_miner(V.blocks(spark, sf), V.events(spark, sf))
+
+
+def child_chain_evidence(spark, sf):
+    r = R.child_chain_evidence(V.events(spark, sf), V.sources(spark))
+    return r.select("parent_hash", F.array_join(F.transform("chains", lambda x: F.concat_ws(":", x["code"], x["n"].cast("string"), x["low"].cast("string"), x["high"].cast("string"))), ",").alias("chains"))
+
+
+def source_summary(spark, sf):
+    return R.source_summary(V.events(spark, sf), V.blocks(spark, sf), V.sources(spark)).withColumn("codes", F.array_join("codes", ","))
+
+
+def orphan_facets(spark, sf):
+    return R.orphan_facets(V.blocks(spark, sf))
+
+
+def navigator_totals(spark, sf):
+    return R.totals(V.blocks(spark, sf), V.events(spark, sf))
+
+
+def duplicate_identities(spark, sf):
+    return R.duplicate_identities(V.events(spark, sf))
+
+
+def weekly_series(spark, sf):
+    return R.weekly_series(V.events(spark, sf), V.sources(spark))
+
+
+def parent_gaps(spark, sf):
+    return R.parent_gaps(V.events(spark, sf))
+
+
+def filtered_blocks(spark, sf):
+    """Kind, orphan class and window filters at once."""
+    b = J.filter_orphan_class(J.filter_kinds(V.blocks(spark, sf), ["unknown"]), ["strict", "pending"])
+    return J.window_blocks(b, 100, 5000, V.GENESIS_TIME, V.GENESIS_TIME + 3_000_000).select("hash", "height", "orphan_class")
+
+
+def sourced_blocks(spark, sf):
+    s = R.source_summary(V.events(spark, sf), V.blocks(spark, sf), V.sources(spark))
+    return J.min_sources(V.blocks(spark, sf).join(s.select("hash", "sources"), "hash"), 2).groupBy("kind").agg(F.count("*").alias("n"), F.sum("sources").alias("sources"))
+
+
+def event_details(spark, sf):
+    return J.filter_sources(J.event_details(V.events(spark, sf), V.sources(spark), V.pools(spark, sf)), ["auxpow:rsk", "live:tips"])
+
+
+def linked_orphans(spark, sf):
+    return J.linked_orphans(V.blocks(spark, sf)).select("hash", "prev_hash")
+
+
+def direct_parents(spark, sf):
+    return J.direct_parents(V.events(spark, sf), V.blocks(spark, sf))
+
+
+def removed_events(spark, sf):
+    e = V.events(spark, sf)
+    return J.removed_events(e, e.where("child_height % 4 <> 0")).groupBy("source_id").agg(F.count("*").alias("n"))
+
+
+def known_stale(spark, sf):
+    b = V.blocks(spark, sf)
+    known = V.events(spark, sf).where("parent_kind = 'stale'").select(F.col("parent_hash").alias("hash"))
+    return J.known_stale(b.where("kind = 'stale'"), known).select("hash", "height")
+
+
+def height_at_time(spark, sf):
+    b = V.blocks(spark, sf)
+    return J.height_at_time(b, _heights(b))
+
+
+def _epochs(block):
+    """An epoch for each 2016th canonical height, its bits made from the pool."""
+    return block.where("kind = 'canonical' and height % 2016 = 0").select(F.col("height").alias("epoch"), F.col("time").alias("start_time"), (F.lit(486604799) - F.coalesce("pool_id", F.lit(0))).alias("bits"))
+
+
+EPOCHS = ", epochs as (select height as epoch, time as start_time, 486604799 - coalesce(pool_id, 0) as bits from block where kind = 'canonical' and height % 2016 = 0)"
+
+
+def epoch_asof(spark, sf):
+    b = V.blocks(spark, sf)
+    return J.epoch_asof(b.where("kind = 'unknown'").select("hash", "time"), _epochs(b), V.GENESIS_TIME + 6_000_000).select("hash", "epoch")
+
+
+def allowed_bits(spark, sf):
+    return J.allowed_bits(_epochs(V.blocks(spark, sf)))
+
+
+def window_coverage(spark, sf):
+    b = V.blocks(spark, sf)
+    return J.window_coverage(_windows(b), b)
+
+
+def window_budget(spark, sf):
+    b = V.blocks(spark, sf)
+    return J.window_budget(_windows(b), b)
+
+
+WINDOWS = ", win as (select hash as window_id, greatest(height - 16, 0) as low, height + 16 as high from block where kind = 'stale')"
+
+
+def _tags(spark, sf):
+    """Tags from part names: the second word of each."""
+    return spark.read.parquet(f"{sf}/part.parquet").select(F.lower(F.get(F.split("p_name", " "), F.lit(0))).alias("tag")).where("tag is not null and length(tag) >= 3").distinct()
+
+
+def match_tags(spark, sf):
+    """Part names searched for the first words of all part names (a few hundred at most)."""
+    names = spark.read.parquet(f"{sf}/part.parquet").select(F.col("p_partkey").alias("row_id"), F.lower("p_name").alias("text"))
+    return J.match_tags(names, _tags(spark, sf))
+
+
+def compact_seed(spark, sf):
+    return J.compact_seed(V.blocks(spark, sf), V.events(spark, sf), [0, 100, 1000], 200, 900)
+
+
+def with_context(spark, sf):
+    b = V.blocks(spark, sf)
+    return J.with_context(b.where("kind = 'stale'"), b).select("hash", "kind", "height")
+
+
+def unlinked_dependents(spark, sf):
+    return J.unlinked_dependents(V.blocks(spark, sf)).select("hash", "kind")
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        competitions, delta_histogram, delta_stats, delta_coverage, delta_ecdf, delta_table, delta_outliers, competitions_of_years, parent_rollup, build_proofs, representative, source_health, health_diff,
+        invalid_unknown, display_miner, child_chain_evidence, source_summary, orphan_facets, navigator_totals, duplicate_identities, weekly_series, parent_gaps, filtered_blocks, sourced_blocks, event_details,
+        linked_orphans, direct_parents, removed_events, known_stale, height_at_time, epoch_asof, allowed_bits, window_coverage, window_budget, match_tags, compact_seed, with_context, unlinked_dependents,
+    )
+}
+
+HEALTH = """
+, live_{0} as (select * from event where revoked_at is null {1}),
+counts_{0} as (select source_id, count(*) as events, max(confirmed_at) as last_seen from live_{0} group by 1),
+pairs_{0} as (select source_id, parent_hash, bool_or(parent_kind = 'unknown') as su from live_{0} group by 1, 2),
+named_{0} as (select p.source_id, b.orphan_class, coalesce(b.kind, case when su then 'unknown' else 'near' end) as now from pairs_{0} p left join block b on b.hash = p.parent_hash),
+parents_{0} as (select source_id, count(*) filter (now = 'near') as near, count(*) filter (now = 'unknown') as unknown, count(*) filter (now = 'canonical') as canonical, count(*) filter (now = 'stale') as stale,
+  count(*) filter (now = 'error_block') as error_block, count(*) filter (now = 'unknown' and orphan_class = 'strict') as strict_orphan, count(*) filter (now = 'unknown' and orphan_class = 'weak') as weak_orphan
+  from named_{0} group by 1),
+health_{0} as (select s.source_id, s.code, coalesce(c.events, 0) as events, c.last_seen, coalesce(near, 0) as near, coalesce(unknown, 0) as unknown, coalesce(canonical, 0) as canonical, coalesce(stale, 0) as stale,
+  coalesce(error_block, 0) as error_block, coalesce(strict_orphan, 0) as strict_orphan, coalesce(weak_orphan, 0) as weak_orphan
+  from source s left join counts_{0} c on c.source_id = s.source_id left join parents_{0} p on p.source_id = s.source_id)
+"""
+_HIST = """
+, k as (select greatest(least(sign(delta_s) * floor(abs(delta_s) / {w}.0 + 0.5), {m}), -{m}) as inner_bin, delta_s from comp),
+b as (select cast(case when delta_s < -600 then -{m} - 1 when delta_s > 600 then {m} + 1 else inner_bin end as bigint) as bin, count(*) as n from k group by 1),
+hist as (select r.bin, r.bin * {w} - {w} / 2.0 as low, r.bin * {w} + {w} / 2.0 as high, coalesce(b.n, 0) as n from (select unnest(generate_series(-{m} - 1, {m} + 1)) as bin) r left join b on b.bin = r.bin)
+"""
+_DIFF = ", ".join(f"coalesce(a.{c}, 0) - coalesce(b.{c}, 0) as {c}" for c in ("events", "near", "unknown", "canonical", "stale", "error_block", "strict_orphan", "weak_orphan"))
+_SEEN = f"""
+, seen as (select distinct e.parent_hash as hash, s.code, s.source_kind from event e join source s on s.source_id = e.source_id where {ACTIVE}
+  union all select hash, 'core', 'core' from block where core_attested),
+summary as (select hash, count(*) as sources, string_agg(code, ',' order by code) as codes, count(*) filter (source_kind = 'auxpow') as chains, bool_or(source_kind = 'live-chaintip') as live from seen group by 1)
+"""
+
+ORACLE = {
+    "competitions": V.oracle(COMP + "select * from comp"),
+    "delta_histogram": V.oracle(COMP + _HIST.format(w=15, m=40) + "select * from hist"),
+    "delta_stats": V.oracle(COMP + "select count(delta_s) as usable, count(*) filter (delta_s is null) as unavailable, avg(delta_s) as mean, min(delta_s) as least, max(delta_s) as most, quantile_cont(delta_s, 0.25) as q1, quantile_cont(delta_s, 0.5) as median, quantile_cont(delta_s, 0.75) as q3, count(*) filter (abs(delta_s) <= 600) / count(delta_s) as share_within from comp"),
+    "delta_coverage": V.oracle(COMP + f"select t.threshold, count(*) filter (abs(delta_s) <= t.threshold) as n, count(*) filter (abs(delta_s) <= t.threshold) / count(*) as share from comp cross join (select unnest({THRESHOLDS}) as threshold) t group by 1"),
+    "delta_ecdf": V.oracle(COMP + ", a as (select abs(delta_s) as abs_delta, count(*) as c from comp group by 1) select abs_delta, cast(sum(c) over (order by abs_delta) as bigint) as n, sum(c) over (order by abs_delta) / (select count(*) from comp) as share from a"),
+    "delta_table": V.oracle(COMP + _HIST.format(w=60, m=10) + "select bin, n, n / (select sum(n) from hist) as share, sum(n) over (order by bin) / (select sum(n) from hist) as running from hist"),
+    "delta_outliers": V.oracle(COMP + "select stale_hash, delta_s from comp where abs(delta_s) > 600 order by abs(delta_s) desc, stale_hash limit 50"),
+    "competitions_of_years": V.oracle(COMP + "select stale_slug, count(*) as n, cast(sum(delta_s) as bigint) as delta_sum from comp where coalesce(year(to_timestamp(stale_time)) = 2009, true) group by 1"),
+    "parent_rollup": V.oracle(f"select parent_hash, count(*) as attestations, count(distinct e.source_id) as sources, count(distinct case when source_kind = 'auxpow' then e.source_id end) as chains, bool_or(source_kind = 'live-chaintip') as live, bool_or(pow_ok) as pow, min(discovered_at) as first_seen, max(confirmed_at) as last_seen from event e join source s on s.source_id = e.source_id where {ACTIVE} group by 1"),
+    "build_proofs": V.oracle("""
+, g as (select parent_hash, source_id, string_agg(cast(event_id as varchar), ',' order by event_id) filter (revoked_at is null) as live_ids, string_agg(cast(event_id as varchar), ',' order by event_id) as all_ids,
+  min(discovered_at) filter (revoked_at is null) as live_first, min(discovered_at) as any_first, max(revoked_at) as last_revoked from event where parent_kind <> 'near' group by 1, 2),
+r as (select parent_hash, source_id, reason, row_number() over (partition by parent_hash, source_id order by revoked_at desc, event_id) as k from event where parent_kind <> 'near' and revoked_at is not null)
+select g.parent_hash, g.source_id, live_ids is not null as live, coalesce(live_ids, all_ids) as ids, coalesce(live_first, any_first) as first_seen, case when live_ids is null then last_revoked end as revoked_at, case when live_ids is null then r.reason end as reason
+from g left join r on r.parent_hash = g.parent_hash and r.source_id = g.source_id and r.k = 1"""),
+    "representative": V.oracle(f"select parent_hash, event_id, source_id, child_height from (select *, row_number() over (partition by parent_hash order by child_hash is null, child_height is null, child_height, event_id) as k from event where {ACTIVE}) where k = 1"),
+    "source_health": V.oracle(HEALTH.format("a", "") + "select * from health_a"),
+    "health_diff": V.oracle(HEALTH.format("a", "") + HEALTH.format("b", "and child_height % 2 = 0") + f"select a.source_id, {_DIFF}, a.last_seen from health_a a full join health_b b on a.source_id = b.source_id"),
+    "invalid_unknown": V.oracle(", p as (select parent_hash, bool_or(pow_ok) as met from event where revoked_at is null and parent_kind = 'unknown' group by 1) select count(*) filter (not met) as violations from p where parent_hash not in (select hash from block where kind <> 'unknown')"),
+    "display_miner": V.oracle(f", m as (select parent_hash, count(distinct child_pool_id) as n, min(child_pool_id) as p from event where {ACTIVE} group by 1) select hash, coalesce(pool_id, case when n = 1 then p end) as pool_id, case when pool_id is not null then 'strict' when n = 1 then 'inferred' else 'unknown' end as basis from block left join m on parent_hash = hash"),
+    "child_chain_evidence": V.oracle(f", g as (select parent_hash, code, count(*) as n, min(child_height) as low, max(child_height) as high from event e join source s on s.source_id = e.source_id where {ACTIVE} group by 1, 2) select parent_hash, string_agg(code || ':' || n || ':' || low || ':' || high, ',' order by code) as chains from g group by 1"),
+    "source_summary": V.oracle(_SEEN + "select * from summary"),
+    "orphan_facets": V.oracle("select coalesce(orphan_class, 'pending') as orphan_class, count(*) as n from block where kind = 'unknown' group by 1"),
+    "navigator_totals": V.oracle(f"select (select count(*) from block where kind = 'stale' and competitor_hash in (select hash from block where kind = 'canonical')) as stale, (select count(*) from block where kind = 'error_block' and hash in (select parent_hash from event where {ACTIVE})) as error_block"),
+    "duplicate_identities": V.oracle("select source_id, child_hash, count(*) as n from event where child_hash is not null group by 1, 2 having count(*) > 1"),
+    "weekly_series": V.oracle("""
+, n as (select source_id, cast(epoch(date_trunc('week', to_timestamp(discovered_at))) as bigint) as week, count(*) as n from event group by 1, 2),
+span as (select source_id, min(week) as a, (select max(week) from n) as z from n group by 1),
+weeks as (select source_id, unnest(generate_series(a, z, 604800)) as week from span)
+select s.code, w.week, coalesce(n.n, 0) as n from weeks w join source s on s.source_id = w.source_id left join n on n.source_id = w.source_id and n.week = w.week"""),
+    "parent_gaps": V.oracle(", d as (select distinct source_id, discovered_at from event where pow_ok and revoked_at is null) select source_id, discovered_at, discovered_at - lag(discovered_at) over (partition by source_id order by discovered_at) as gap_s from d"),
+    "filtered_blocks": V.oracle("select hash, height, orphan_class from block where kind = 'unknown' and (orphan_class = 'strict' or orphan_class is null) and (height between 100 and 5000 or (height is null and time between 1231006505 and 1234006505))"),
+    "sourced_blocks": V.oracle(_SEEN + "select kind, count(*) as n, cast(sum(sources) as bigint) as sources from block b join summary s on s.hash = b.hash where kind = 'canonical' or sources >= 2 group by 1"),
+    "event_details": V.oracle("select event_id, code, parent_hash, child_height, p.slug as child_slug from event e join source s on s.source_id = e.source_id left join pool p on p.pool_id = e.child_pool_id where code in ('auxpow:rsk', 'live:tips')"),
+    "linked_orphans": V.oracle(", c as (select hash, prev_hash from block where kind = 'unknown' and coalesce(orphan_class, 'pending') <> 'excluded') select * from c where prev_hash in (select hash from c) or hash in (select prev_hash from c)"),
+    "direct_parents": V.oracle("select parent_hash, count(*) as events, count(distinct source_id) as sources, max(case when parent_kind = 'unknown' then 1 else 0 end) as unknown from event where revoked_at is null and parent_kind in ('near', 'unknown') and parent_hash not in (select hash from block) group by 1"),
+    "removed_events": V.oracle("select source_id, count(*) as n from event where event_id not in (select event_id from event where child_height % 4 <> 0) group by 1"),
+    "known_stale": V.oracle("select hash, height from block where kind = 'stale' and hash in (select parent_hash from event where parent_kind = 'stale')"),
+    "height_at_time": V.oracle(", w as (select distinct time + 300 as t from block where kind = 'canonical' and height % 50 = 0), c as (select t, height, hash, row_number() over (partition by t order by time desc, height desc, hash) as k from w left join block on kind = 'canonical' and time <= t and time > t - 5000) select t, height, hash from c where k = 1"),
+    "epoch_asof": V.oracle(EPOCHS + "select hash, case when time <= 1237006505 then (select max(epoch) from epochs where start_time <= time) end as epoch from block where kind = 'unknown'"),
+    "allowed_bits": V.oracle(EPOCHS + "select e.epoch, e.bits, p.bits as bits_before, n.bits as bits_after from epochs e left join epochs p on e.epoch = p.epoch + 2016 left join epochs n on e.epoch = n.epoch - 2016"),
+    "window_coverage": V.oracle(WINDOWS + ", s as (select height, count(*) as n from block where kind = 'canonical' group by 1), x as (select window_id, unnest(generate_series(low, high)) as height from win) select window_id, count(*) as wanted, count(n) as covered, cast(coalesce(sum(n), 0) as bigint) as blocks from x left join s on s.height = x.height group by 1"),
+    "window_budget": V.oracle(WINDOWS + ", s as (select height, count(*) as n from block where kind in ('stale', 'error_block') group by 1), x as (select window_id, unnest(generate_series(low, high)) as height from win) select window_id, cast(coalesce(sum(n), 0) as bigint) as side_blocks from x left join s on s.height = x.height group by 1"),
+    "match_tags": "with t as (select distinct lower(split_part(p_name, ' ', 1)) as tag from part where length(split_part(p_name, ' ', 1)) >= 3), h as (select p_partkey as row_id, tag, row_number() over (partition by p_partkey order by strlen(tag) desc, tag) as k from part left join t on contains(lower(p_name), tag)) select row_id, tag from h where k = 1",
+    "compact_seed": V.oracle(f"select distinct hash, kind, height from block where (kind = 'canonical' and height in (0, 100, 1000)) or (kind in ('stale', 'error_block') and height between 200 and 900) or (kind = 'canonical' and height between 200 and 900 and hash in (select parent_hash from event where {ACTIVE}))"),
+    "with_context": V.oracle("select hash, kind, height from block where hash in (select hash from block where kind = 'stale' union select competitor_hash from block where kind = 'stale' union select prev_hash from block where kind = 'stale')"),
+    "unlinked_dependents": V.oracle("select hash, kind from block where prev_hash not in (select hash from block)"),
+}
