@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pegtrail.plans import core
+from pegtrail.plans import core, tree
 
 
-MODULES = (core,)
+MODULES = (core, tree)
 
 
 def queries():
