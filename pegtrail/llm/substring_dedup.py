@@ -10,7 +10,7 @@ has the two windows of 25 that begin or end with the anchor; a window of 50 that
 Level 50 has every window of 50 that holds a repeated one of 25.
 
 What is shuffled: anchors and windows as hashes (64 bits on the first levels, which only choose candidates, 128 bits on
-the last), and the texts once, by id. Repeated keys are found by a grouping with map-side combine and joined back, which
+the last), and the texts once, by id, for both joins that need them. Repeated keys are found by a grouping with map-side combine and joined back, which
 Spark can split; the last level decides within each slice of texts first and sends on what no text there decides.
 
 Defined cases: a null or empty text has no words; texts under 50 words stay whole; a null id counts as larger than all
@@ -61,25 +61,34 @@ def anchors(words: Words, hashes: Windows) -> tuple[np.ndarray, np.ndarray]:
 
 
 def find_anchors(texts: DataFrame) -> DataFrame:
-    """(id, rk, at, h, right, left): anchors of texts of 50 words or more, and the hashes of both windows of 25 (null: none)."""
+    """(rk, at, h, more): anchors of texts of 50 words or more; a task writes equal texts once.
+
+    `more` has 32 bits of the hash of the window of 25 that begins with the anchor, and below them of the one that ends
+    with it (0: none). With the anchor's own hash they tell such windows apart.
+    """
 
     def make():
+        seen: set[int] = set()
+
         def step(part: pa.RecordBatch) -> dict:
-            words = Words(*text_bytes(part.column(2)))
+            fresh = [i for i, x in enumerate(part.column(0).to_pylist()) if x not in seen and not seen.add(x)]
+            if len(seen) > 500_000:
+                seen.clear()
+            part = part.take(pa.array(fresh, pa.int64()))
+            words = Words(*text_bytes(part.column(1)))
             hashes = Windows(words.hashes())
             at, h = anchors(words, hashes)
             text, place, left = words.text()[at], words.place()[at], words.left()[at]
-            back = MIDDLE - SHORT
+            back, low = MIDDLE - SHORT, np.uint64(0xFFFFFFFF)
             right_ok, left_ok = left >= MIDDLE, place >= back
-            right, before = np.zeros(len(at), np.uint64), np.zeros(len(at), np.uint64)
-            right[right_ok] = hashes.at(at[right_ok], MIDDLE)
-            before[left_ok] = hashes.at(at[left_ok] - back, MIDDLE)
-            take = pa.array(text)
-            return {"id": part.column(0).take(take), "rk": part.column(1).take(take), "at": pa.array(place.astype(np.int32)), "h": pa.array(h.view(np.int64)), "right": pa.array(right.view(np.int64), mask=~right_ok), "left": pa.array(before.view(np.int64), mask=~left_ok)}
+            more = np.zeros(len(at), np.uint64)
+            more[right_ok] |= np.maximum(hashes.at(at[right_ok], MIDDLE) & low, np.uint64(1)) << np.uint64(32)
+            more[left_ok] |= np.maximum(hashes.at(at[left_ok] - back, MIDDLE) & low, np.uint64(1))
+            return {"rk": part.column(0).take(pa.array(text)), "at": pa.array(place.astype(np.int32)), "h": pa.array(h.view(np.int64)), "more": pa.array(more.view(np.int64))}
 
         return step
 
-    return map_slices(texts, ["id", "rk", "text"], "text", "id long, rk long, at int, h long, right long, left long", make)
+    return map_slices(texts, ["rk", "text"], "text", "rk long, at int, h long, more long", make)
 
 
 def repeated(df: DataFrame, key: str) -> DataFrame:
@@ -174,11 +183,12 @@ def drop_repeats(docs: DataFrame) -> DataFrame:
     firsts = keys.groupBy("rk", "rk2").agg(F.min("id").alias("least"))
     copies = keys.join(firsts, ["rk", "rk2"]).where("id > least").select("id", "rk").distinct()
 
-    found = find_anchors(texts).checkpoint()
-    at_13 = repeated(found, "h")
-    two = F.explode(F.array(F.struct(F.col("at").alias("at"), F.col("right").alias("h")), F.struct((F.col("at") - (MIDDLE - SHORT)).alias("at"), F.col("left").alias("h"))))
-    at_25 = repeated(at_13.select("id", "rk", two.alias("w")).select("id", "rk", "w.at", "w.h"), "h")
-    starts = at_25.join(copies, ["id", "rk"], "left_anti").groupBy("id", "rk").agg(F.collect_set("at").alias("starts"))
+    at_13 = repeated(find_anchors(texts), "h")
+    right, left = F.shiftrightunsigned("more", 32), F.col("more").bitwiseAND(F.lit(0xFFFFFFFF))
+    window = lambda at, bits, side: F.struct(at.alias("at"), F.when(bits != 0, F.xxhash64("h", bits, F.lit(side))).alias("h"))
+    two = F.explode(F.array(window(F.col("at"), right, "right"), window(F.col("at") - (MIDDLE - SHORT), left, "left")))
+    at_25 = repeated(at_13.select("rk", two.alias("w")).select("rk", "w.at", "w.h"), "h")
+    starts = at_25.groupBy("rk").agg(F.collect_set("at").alias("starts")).join(firsts.select("rk", F.col("least").alias("id")), "rk")
 
     windows = candidates(texts, starts)
     least = F.min("id").over(W.partitionBy("h1", "h2"))
