@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pegtrail.plans import core, tree
+from pegtrail.plans import core, decide, tree
 
 
-MODULES = (core, tree)
+MODULES = (core, tree, decide)
 
 
 def queries():
