@@ -1 +1 @@
-
+"""Streams that keep the evidence tables current."""
