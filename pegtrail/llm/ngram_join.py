@@ -190,5 +190,5 @@ def similar_groups(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
 
     every = measured.where("block is null").select("doc_id", "node", "n_shingles").join(group, "node", "left").withColumn("component", F.coalesce("component", "node"))
     linked = every.where("n_shingles > 0")
-    least = linked.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    least = linked.groupBy("component").agg(F.min("doc_id").alias("component_id")).checkpoint()  # so that the join below shuffles its sides on its own and can be split
     return linked.join(least, "component").select("doc_id", "n_shingles", "component_id").unionByName(every.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))

@@ -176,14 +176,18 @@ def best_threshold(counts: list[tuple[int, bool, int]], lost: float = LOST) -> f
     return best / STEPS if gain[best] > 0 else None
 
 
-def judge(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def judge(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", lost: float = LOST) -> DataFrame:
     """(key, n_words, statistics, base_failed, score, kept) of each whole text; labels: (doc_id, quality)."""
     spark = docs.sparkSession
     shared_dir(spark)
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     stats = rule_statistics(docs, key, text).withColumn("base_failed", failed).checkpoint()
     names = ["n_words", *_STATS]
-    sample = stats.where(~F.col("base_failed")).select(*names, F.xxhash64(F.col(key), F.lit("forest")).alias("h")).orderBy("h", *names).limit(TREES * GROWN_ON).select(*names).collect()
+    passed, need = stats.where(~F.col("base_failed")), TREES * GROWN_ON
+    # twice the need by hash, then the least hashes of those: what reaches the driver doesn't grow with the table
+    share = min(1.0, 2 * need / max(1, passed.count()))
+    by_hash = passed.select(*names, F.xxhash64(F.col(key), F.lit("forest")).alias("h")).where(F.pmod("h", F.lit(1 << 30)) < int(share * (1 << 30)))
+    sample = by_hash.orderBy("h", *names).limit(need).select(*names).collect()
     if not sample:
         return stats.select(key, *names, "base_failed", F.lit(0.0).alias("score"), F.lit(False).alias("kept"))
     rows = np.array([list(r) for r in sample], np.float64)
@@ -199,6 +203,6 @@ def judge(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     scored = stats.select(key, *names, "base_failed").mapInArrow(score, f"`{key}` {kind}, " + ", ".join(f"{c} long" for c in names) + ", base_failed boolean, score double").checkpoint()
     label = labels.where(F.col("quality").isNotNull()).groupBy(F.col("doc_id").alias("labelled")).agg((F.avg("quality") > 0.5).alias("good"))
     rows = scored.where(~F.col("base_failed")).join(label, F.col(key) == F.col("labelled")).groupBy(F.floor(F.col("score") * STEPS).cast("int").alias("step"), "good").count().collect()
-    limit = best_threshold([(r["step"], r["good"], r["count"]) for r in rows])
+    limit = best_threshold([(r["step"], r["good"], r["count"]) for r in rows], lost)
     kept = ~F.col("base_failed") & (F.floor(F.col("score") * STEPS) < F.lit(round((limit or 2) * STEPS)))
     return scored.withColumn("kept", kept)

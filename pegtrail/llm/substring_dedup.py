@@ -106,7 +106,7 @@ def candidates(texts: DataFrame, starts: DataFrame) -> DataFrame:
 
     def make():
         def step(part: pa.RecordBatch) -> dict:
-            rows = np.flatnonzero(np.array(part.column(2).is_valid()))
+            rows = np.flatnonzero(np.array(part.column(2).is_valid()))  # doc_id is read for the sake of one exchange for both joins
             part = part.take(pa.array(rows))
             words = Words(*text_bytes(part.column(3)))
             text, left = words.text(), words.left()
@@ -140,7 +140,7 @@ def candidates(texts: DataFrame, starts: DataFrame) -> DataFrame:
 
         return step
 
-    return map_slices(joined, ["id", "rk", "starts", "text"], "text", "id long, rk long, start int, last int, h1 long, h2 long", make, limit=DECIDE_BYTES)
+    return map_slices(joined, ["id", "rk", "starts", "text", "doc_id"], "text", "id long, rk long, start int, last int, h1 long, h2 long", make, limit=DECIDE_BYTES)
 
 
 def remove(texts: DataFrame, gone: DataFrame) -> DataFrame:
@@ -183,7 +183,7 @@ def drop_repeats(docs: DataFrame) -> DataFrame:
     firsts = keys.groupBy("rk", "rk2").agg(F.min("id").alias("least"))
     copies = keys.join(firsts, ["rk", "rk2"]).where("id > least").select("id", "rk").distinct()
 
-    at_13 = repeated(find_anchors(texts), "h")
+    at_13 = repeated(find_anchors(texts), "h").checkpoint()
     right, left = F.shiftrightunsigned("more", 32), F.col("more").bitwiseAND(F.lit(0xFFFFFFFF))
     window = lambda at, bits, side: F.struct(at.alias("at"), F.when(bits != 0, F.xxhash64("h", bits, F.lit(side))).alias("h"))
     two = F.explode(F.array(window(F.col("at"), right, "right"), window(F.col("at") - (MIDDLE - SHORT), left, "left")))
