@@ -198,13 +198,14 @@ class Model:
                 state[:k] = back[at, state[:k]]
 
 
-def identify(df: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, lang_pred, score, spans): `spans` are runs of words of one language as (first word, end, lang).
+def identify(df: DataFrame, model: Model, key: str = "doc_id", text: str = "text", also: tuple[str, ...] = ()) -> DataFrame:
+    """(key, lang_pred, score, spans) and the columns in `also` as they are: `spans` are runs of words of one language as (first word, end, lang).
 
     The prediction is the language of most words with a letter; its score is their share times the softmax of the
     languages' total scores.
     """
     kind = df.schema[key].dataType.simpleString()
+    more = "".join(f", `{c}` {df.schema[c].dataType.simpleString()}" for c in also)
 
     def make():
         def step(part: pa.RecordBatch) -> dict:
@@ -227,11 +228,11 @@ def identify(df: DataFrame, model: Model, key: str = "doc_id", text: str = "text
                     t = int(text_of[a])
                     if every[t]:
                         spans[t].append({"first": int(a - first[t]), "end": int(b - first[t]), "lang": langs[path[a]]})
-            return {key: part.column(0), "lang_pred": lang, "score": score, "spans": spans}
+            return {key: part.column(0), "lang_pred": lang, "score": score, "spans": spans} | {c: part.column(2 + i) for i, c in enumerate(also)}
 
         return step
 
-    return map_slices(df, [key, text], text, f"`{key}` {kind}, lang_pred string, score double, spans array<struct<first:bigint,end:bigint,lang:string>>", make)
+    return map_slices(df, [key, text, *also], text, f"`{key}` {kind}, lang_pred string, score double, spans array<struct<first:bigint,end:bigint,lang:string>>{more}", make)
 
 
 def held_out(key: Column) -> Column:

@@ -101,7 +101,8 @@ def base_spans(text):
 
 
 def normal_line(line):
-    return re.sub(r"[^\w]+|_", " ", line.lower()).translate(str.maketrans("123456789", "0" * 9)).strip()
+    out = "".join(" " if ord(c) < 128 and not c.isalnum() else "0" if c in "123456789" else chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in line)
+    return re.sub(" +", " ", out).strip(" ")
 
 
 def edit_distance(a, b):

@@ -124,7 +124,7 @@ def test_lines_against_brute_force(spark):
 
     for i in range(len(docs)):
         for j in range(i):
-            a, b = normal_line(lines[i]), normal_line(lines[j])
+            a, b = normal_line(lines[i]).split(" "), normal_line(lines[j]).split(" ")
             near = bin((sim[i] ^ sim[j]) & (2**64 - 1)).count("1") <= line_dedup.BITS_APART
             if a == b or near and edit_distance(a, b) <= 0.1 * max(len(a), len(b)):
                 x, y = find(i), find(j)
