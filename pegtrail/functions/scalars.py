@@ -103,7 +103,7 @@ def aux_marker(script: Column) -> Column:
 def coinbase_tag(script: Column) -> Column:
     """Printable runs of four characters or more, trimmed, joined by a space; null if there are none."""
     text = F.decode(script, "ISO-8859-1")
-    runs = F.filter(F.transform(F.regexp_extract_all(text, F.lit("[ -~]+"), F.lit(0)), F.trim), lambda x: F.length(x) >= 4)
+    runs = F.filter(F.transform(F.regexp_extract_all(text, F.lit("[ -~]+"), F.lit(0)), lambda x: F.trim(x)), lambda x: F.length(x) >= 4)
     return F.nullif(F.array_join(runs, " "), F.lit(""))
 
 
@@ -114,7 +114,7 @@ def normalize_tag(tag: Column) -> Column:
 
 def merkle_fold(leaf: Column, branch: Column, index: Column) -> Column:
     """The root that a leaf and its branch give: bit k of `index` says on which side the k-th hash stands."""
-    steps = F.transform(branch, lambda h, i: F.struct(h.alias("h"), F.shiftright(index.cast("long"), i).bitwiseAND(F.lit(1)).alias("right")))
+    steps = F.transform(branch, lambda h, i: F.struct(h.alias("h"), F.call_function("shiftright", index.cast("long"), i).bitwiseAND(F.lit(1)).alias("right")))
     return F.aggregate(steps, leaf, lambda acc, s: sha256d(F.when(s["right"] == 1, F.concat(s["h"], acc)).otherwise(F.concat(acc, s["h"]))))
 
 
@@ -123,7 +123,7 @@ def expected_slot(nonce: Column, chain_id: Column, height: Column) -> Column:
     low = lambda c: c.bitwiseAND(F.lit(MASK32))
     first = low(low(nonce.cast("long") * 1103515245) + 12345)
     second = low(low(first + chain_id) * 1103515245)
-    return low(second + 12345) % F.shiftleft(F.lit(1).cast("long"), height.cast("int"))
+    return low(second + 12345) % F.call_function("shiftleft", F.lit(1).cast("long"), height.cast("int"))
 
 
 def epoch_start(height: Column) -> Column:

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pegtrail.plans import core, decide, tree
+from pegtrail.plans import core, decide, scalar, tree
 
 
-MODULES = (core, tree, decide)
+MODULES = (core, tree, decide, scalar)
 
 
 def queries():
