@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pegtrail.plans import core, decide, scalar, tree
+from pegtrail.plans import core, decide, payload, scalar, tree
 
 
-MODULES = (core, tree, decide, scalar)
+MODULES = (core, tree, decide, scalar, payload)
 
 
 def queries():
