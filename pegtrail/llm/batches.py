@@ -13,6 +13,8 @@ from pegtrail.session import importable
 
 #: Most UTF-8 bytes of text that a Python worker holds as one slice (a single longer text is a slice of its own).
 SLICE_BYTES = 2 << 20
+#: Up to so many narrow rows (16 to 32 bytes each) are broadcast to a join; beyond it, both sides are shuffled.
+BROADCAST_ROWS = 1_500_000
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,6 +36,12 @@ def shared_dir(spark: SparkSession) -> None:
         context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints/pegtrail")
 
 
+def picked(rows: DataFrame, keys: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """The rows joined with `keys`, which are narrow and are broadcast if they are few."""
+    few = keys.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    return rows.join(F.broadcast(keys) if few else keys, on, how)
+
+
 def slices(batch: pa.RecordBatch, text: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """The batch cut so that no slice of more than one row has over `limit` bytes of text."""
     sizes = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_pylist()
