@@ -93,7 +93,7 @@ def find_anchors(texts: DataFrame) -> DataFrame:
 
 def repeated(df: DataFrame, key: str) -> DataFrame:
     """The rows whose key is in different texts."""
-    keys = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.min("rk").alias("a"), F.max("rk").alias("b")).where("a <> b").select(key)
+    keys = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.min("rk").alias("a"), F.max("rk").alias("b")).where("a <> b").select(key).checkpoint()  # else the join takes over the grouping's shuffle, and a hot key can't be split
     return df.join(keys, key, "left_semi")
 
 
