@@ -2,7 +2,7 @@ import hashlib
 import random
 
 import pytest
-from brute import edit_distance, ngram_groups, normal_line, repeats_removed
+from brute import edit_distance, ngram_groups, normal_line, repeats_removed, union_find
 
 from pegtrail.llm import components, line_dedup, ngram_join, substring_dedup
 
@@ -137,3 +137,30 @@ def test_lines_against_brute_force(spark):
 def test_digest_is_of_utf8(spark):
     out = substring_dedup.digest(substring_dedup.drop_repeats(frame(spark, [(1, "é  ü\nx")]))).first()
     assert out["kept_sha256"] == hashlib.sha256("é ü x".encode()).hexdigest()
+
+
+def test_lines_with_changed_words(spark):
+    """Lines of 4 to 60 words of which a tenth, or one, differs by little or much: brute force on edit similarity alone gives the same groups."""
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choices("abcdefghijklmnop", k=rng.randint(2, 9)))
+    lines = []
+    for n in (4, 5, 9, 10, 11, 15, 19, 20, 29, 30, 40, 60):
+        for _ in range(3):
+            w = [word() for _ in range(n)]
+            lines.append(" ".join(w))
+            v = list(w)
+            for i in rng.sample(range(n), max(1, n // 10)):
+                v[i] = v[i] + "q" if n < 10 or rng.random() < 0.3 else "".join(rng.sample(v[i], len(v[i]) - 1)) + "z"
+            lines.append(" ".join(v))
+            at = rng.randrange(n)
+            lines.append(" ".join(w[:at] + w[at + 1 :]))
+    got = {r["doc_id"] for r in line_dedup.removed_lines(frame(spark, list(enumerate(lines)))).collect() if r["n_removed"]}
+    parent, find = union_find(len(lines))
+    for i in range(len(lines)):
+        for j in range(i):
+            far = max(len(lines[i]), len(lines[j])) // 10
+            if abs(len(lines[i]) - len(lines[j])) <= far and edit_distance(lines[i], lines[j]) <= far:
+                x, y = find(i), find(j)
+                parent[max(x, y)] = min(x, y)
+    want = {i for i in range(len(lines)) if find(i) != i}
+    assert got == want and len(want) > 45
