@@ -1,7 +1,7 @@
 """Quality rules by an isolation forest over rule statistics.
 
 Each whole text gives rule statistics: words, letters a word, symbols, repeated lines, words in repeated windows,
-capitals, words equal to the one before. A forest of random trees, each grown on its own bounded sample of rows as the method asks, scores
+capitals, words equal to the one before, digits. A forest of random trees, each grown on its own bounded sample of rows as the method asks, scores
 every document by the mean length of its path: the shorter, the more anomalous. The threshold is the one that best
 separates the labelled rows, counted over all of them, among thresholds that lose at most `lost` of the good ones.
 
@@ -35,8 +35,10 @@ LOST = 0.005
 
 #: Words that a text's rates are drawn towards the sample's rates by, so that short texts aren't anomalous by chance.
 PRIOR_WORDS = 60
+#: The same for repeated lines, in lines.
+PRIOR_LINES = 4
 
-_STATS = ("word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_capitals", "n_same_words")
+_STATS = ("word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_capitals", "n_same_words", "n_digits")
 _SYMBOLS = np.zeros(256, bool)
 _SYMBOLS[[ord(c) for c in "#*$%&|<>"]] = True
 
@@ -89,6 +91,7 @@ def rule_statistics(df: DataFrame, key: str = "doc_id", text: str = "text") -> D
             return {
                 key: part.column(0), "n_words": np.diff(words.first), "word_chars": sums(((data & 0xC0) != 0x80) & ~space), "n_symbols": sums(_SYMBOLS[data]), "n_dup_lines": dup,
                 "n_repeat_words": repeat_words(words), "n_lines": lines, "n_capitals": sums((data >= 65) & (data <= 90)), "n_same_words": np.bincount(words.text(), same, len(part)).astype(np.int64),
+                "n_digits": sums((data >= 48) & (data <= 57)),
             }
 
         return step
@@ -96,17 +99,19 @@ def rule_statistics(df: DataFrame, key: str = "doc_id", text: str = "text") -> D
     return map_slices(df, [key, text], text, f"`{key}` {kind}, n_words long, " + ", ".join(f"{c} long" for c in _STATS), make)
 
 
-def splits_on(stats: np.ndarray, means: np.ndarray | None = None) -> np.ndarray:
-    """What the trees split on: letters a word, symbols a word, capitals a letter, same words a word, drawn towards `means`.
+#: What the trees split on, each a statistic and what it is counted by, and by which words it is drawn towards the mean.
+_RATES = (("word_chars", "n_words"), ("n_symbols", "n_words"), ("n_capitals", "word_chars"), ("n_same_words", "n_words"), ("n_dup_lines", "n_lines"), ("n_repeat_words", "n_words"), ("n_digits", "word_chars"))
 
-    `stats` has n_words and the statistics as columns. Repeated lines and windows are the base rules' matter.
+
+def splits_on(stats: np.ndarray, means: np.ndarray) -> np.ndarray:
+    """What the trees split on: letters, symbols, same words and repeated words a word, capitals and digits a letter,
+    repeated lines a line, drawn towards `means`. `stats` has n_words and the statistics as columns.
     """
-    n_words, word_chars, n_symbols, _, _, _, n_capitals, n_same = stats.T.astype(np.float64)
-    of = np.stack([word_chars, n_symbols, n_capitals, n_same], 1)
-    by = np.stack([n_words, n_words, word_chars, n_words], 1)
-    if means is None:
-        return of.sum(0) / np.maximum(by.sum(0), 1)
-    prior = PRIOR_WORDS * np.array([1, 1, means[0], 1])
+    at = {c: i for i, c in enumerate(("n_words", *_STATS))}
+    column = lambda c: stats[:, at[c]].astype(np.float64)
+    of = np.stack([column(a) for a, _ in _RATES], 1)
+    by = np.stack([column(b) for _, b in _RATES], 1)
+    prior = np.array([PRIOR_LINES if b == "n_lines" else PRIOR_WORDS * (means[0] if b == "word_chars" else 1) for _, b in _RATES])
     return (of + prior * means) / (by + prior)
 
 
@@ -184,14 +189,15 @@ def judge(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     stats = rule_statistics(docs, key, text).withColumn("base_failed", failed).checkpoint()
     names = ["n_words", *_STATS]
     passed, need = stats.where(~F.col("base_failed")), TREES * GROWN_ON
+    summed = passed.agg(F.count("*").alias("rows"), *[F.coalesce(F.sum(F.col(c).cast("double")), F.lit(0.0)).alias(c) for c in names]).first()
     # twice the need by hash, then the least hashes of those: what reaches the driver doesn't grow with the table
-    share = min(1.0, 2 * need / max(1, passed.count()))
+    share = min(1.0, 2 * need / max(1, summed["rows"]))
     by_hash = passed.select(*names, F.xxhash64(F.col(key), F.lit("forest")).alias("h")).where(F.pmod("h", F.lit(1 << 30)) < int(share * (1 << 30)))
     sample = by_hash.orderBy("h", *names).limit(need).select(*names).collect()
     if not sample:
         return stats.select(key, *names, "base_failed", F.lit(0.0).alias("score"), F.lit(False).alias("kept"))
     rows = np.array([list(r) for r in sample], np.float64)
-    means = splits_on(rows)
+    means = np.array([summed[a] / max(1.0, summed[b]) for a, b in _RATES])  # of all rows that pass
     forest = Forest(splits_on(rows, means))
     kind = stats.schema[key].dataType.simpleString()
 

@@ -41,6 +41,22 @@ def test_forest_finds_the_odd_ones(spark):
     assert unlabelled.where("not kept").count() == 0
 
 
+def test_forest_sees_lines_windows_and_digits(spark):
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choices("abcdefgh", k=rng.randint(2, 8)))
+    page = lambda: [" ".join(word() for _ in range(10)) for _ in range(24)]
+    plain = [(i, "\n".join(page()), "s", "en") for i in range(300)]
+    lines = [(1000 + i, "\n".join(f"{x}\nread on" for x in page()), "s", "en") for i in range(3)]
+    passage = " ".join(word() for _ in range(25))
+    windows = [(1100 + i, "\n".join([*page()[:20], f"{passage} {word()} {passage}"]), "s", "en") for i in range(3)]
+    digits = [(1200 + i, "\n".join(" ".join(str(rng.randrange(100, 10**6)) for _ in range(10)) for _ in range(24)), "s", "en") for i in range(3)]
+    labels = spark.createDataFrame([(d[0], 1) for d in plain[::2]] + [(d[0], 0) for d in lines + windows + digits], "doc_id long, quality int")
+    got = {r["doc_id"]: r for r in quality_forest.judge(frame(spark, plain + lines + windows + digits), labels, lost=0.03).collect()}
+    assert sum(got[d[0]]["kept"] for d in plain) >= 285
+    for odd in (lines, windows, digits):
+        assert not any(got[d[0]]["base_failed"] or got[d[0]]["kept"] for d in odd)
+
+
 def test_threshold():
     assert quality_forest.best_threshold([]) is None
     assert quality_forest.best_threshold([(5, True, 3)]) is None
