@@ -127,31 +127,37 @@ def tree_edges(nodes: DataFrame, hidden: DataFrame) -> DataFrame:
     return direct.select("from_hash", F.col("hash").alias("to_hash"), kind.alias("edge_kind"), F.lit(0).cast("long").alias("hidden")).unionByName(skipped.select("from_hash", "to_hash", F.lit("hidden").alias("edge_kind"), F.col("hidden").cast("long").alias("hidden")))
 
 
-def cascade(changed: DataFrame, block: DataFrame, rounds: int = MOST_ROUNDS) -> DataFrame:
-    """(hash, round): what must be looked at again: children of what changed, and stale blocks whose competitor did, to a fixpoint."""
+def cascade(changed: DataFrame, block: DataFrame) -> DataFrame:
+    """(hash, round): what must be looked at again: children of what changed, and stale blocks whose competitor did, to a fixpoint.
+
+    A round is one link, and its rows are those first reached by it, so the loop ends when nothing new is reached,
+    cycles and chains of any length included.
+    """
     _folder(block)
     links = block.select(F.col("prev_hash").alias("source"), "hash").unionByName(block.where("competitor_hash is not null").select(F.col("competitor_hash").alias("source"), "hash")).distinct().checkpoint()
     seen = changed.select("hash", F.lit(0).alias("round")).distinct().checkpoint()
-    front = seen
-    for k in range(1, rounds + 1):
+    front, k = seen, 0
+    while not front.isEmpty():
+        k += 1
         front = links.join(front.select(F.col("hash").alias("source")), "source").select("hash").distinct().join(seen.select("hash"), "hash", "left_anti").select("hash", F.lit(k).alias("round")).checkpoint()
-        if front.isEmpty():
-            break
         seen = seen.unionByName(front).checkpoint()
     return seen
 
 
-def infer_stale(block: DataFrame, rounds: int = MOST_ROUNDS) -> DataFrame:
-    """(hash, height, competitor_hash): unknown blocks that follow a stale one, one height up, where a canonical block stands there."""
+def infer_stale(block: DataFrame) -> DataFrame:
+    """(hash, height, competitor_hash): unknown blocks that follow a stale one, one height up, where a canonical block stands there.
+
+    Where blocks have `bits`, those of the unknown block and of the canonical one must be equal. Each round is a height
+    up, so the loop ends with the heights of the spine.
+    """
     _folder(block)
-    spine = block.where("kind = 'canonical'").select("height", F.col("hash").alias("competitor_hash"))
-    open_ = block.where("kind = 'unknown'").select("hash", "prev_hash").checkpoint()
+    bits = ["bits"] if "bits" in block.columns else []
+    spine = block.where("kind = 'canonical'").select("height", F.col("hash").alias("competitor_hash"), *bits)
+    open_ = block.where("kind = 'unknown'").select("hash", "prev_hash", *bits).checkpoint()
     front = block.where("kind = 'stale'").select(F.col("hash").alias("prev_hash"), F.col("height").alias("below")).checkpoint()
     found = None
-    for _ in range(rounds):
-        new = open_.join(front, "prev_hash").select("hash", (F.col("below") + 1).alias("height")).join(spine, "height").select("hash", "height", "competitor_hash").checkpoint()
+    while found is None or not front.isEmpty():
+        new = open_.join(front, "prev_hash").select("hash", (F.col("below") + 1).alias("height"), *bits).join(spine, ["height", *bits]).select("hash", "height", "competitor_hash").checkpoint()
         found = new if found is None else found.unionByName(new)
-        if new.isEmpty():
-            break
         front = new.select(F.col("hash").alias("prev_hash"), F.col("height").alias("below"))
     return found

@@ -128,3 +128,15 @@ def test_spine_stream(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "spine")).count() == 5
     with pytest.raises(ValueError, match="conflict"):
         write(spark.createDataFrame([("k5", "other", 5)], "hash string, prev_hash string, height long"), 2)
+
+
+def test_cascade_and_infer_stale_follow_long_chains(spark):
+    n = 60
+    chain = [(f"c{i}", f"c{i - 1}", "canonical", i, None, 7) for i in range(1, n)]
+    block = spark.createDataFrame(chain + [("s30", "c29", "stale", 30, f"c{n - 1}", 7)], "hash string, prev_hash string, kind string, height long, competitor_hash string, bits long")
+    got = {r["hash"]: r["round"] for r in graph.cascade(block.where("hash = 'c1'").select("hash"), block).collect()}
+    assert got == {f"c{i}": i - 1 for i in range(1, n)} | {"s30": 29}
+    side = [("u1", "s0", "unknown", None, None, 7), *[(f"u{i}", f"u{i - 1}", "unknown", None, None, 8 if i == 55 else 7) for i in range(2, n)]]
+    block = spark.createDataFrame([*chain, ("s0", "x", "stale", 0, None, 7), *side], block.schema)
+    got = {(r["hash"], r["height"], r["competitor_hash"]) for r in graph.infer_stale(block).collect()}
+    assert got == {(f"u{i}", i, f"c{i}") for i in range(1, 55)}
