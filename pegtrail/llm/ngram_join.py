@@ -161,8 +161,8 @@ def verify(pairs: DataFrame, texts: DataFrame, tables, n: int, percent: int) ->
     return map_slices(both, ["a", "b", "text_a", "text_b"], "text_a", "a long, b long", make)
 
 
-def similar_groups(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
-    """(doc_id, n_shingles, component_id) of each row of (doc_id, text): the least id that it reaches by links."""
+def similar_rows(docs: DataFrame, n: int = 5, percent: int = 80, also: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, node, n_shingles, component, `also`) of each row of (doc_id, text): equal texts are one node, linked ones one component."""
     spark = docs.sparkSession
     shared_dir(spark)
     text = F.coalesce(F.col("text"), F.lit(""))
@@ -188,7 +188,16 @@ def similar_groups(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
         links = links.unionByName(verify(pairs, texts, tables, n, percent)).checkpoint()
         group = components(links).checkpoint()
 
-    every = measured.where("block is null").select("doc_id", "node", "n_shingles").join(group, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    every = measured.where("block is null").select("doc_id", "node", "n_shingles")
+    if also:
+        sizes = every.groupBy("node").agg(F.max("n_shingles").alias("n_shingles"))
+        every = docs.select("doc_id", F.xxhash64(text).alias("node"), *also).join(sizes, "node")
+    return every.join(group, "node", "left").withColumn("component", F.coalesce("component", "node")).select("doc_id", "node", "n_shingles", "component", *also)
+
+
+def similar_groups(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
+    """(doc_id, n_shingles, component_id) of each row of (doc_id, text): the least id that it reaches by links."""
+    every = similar_rows(docs, n, percent)
     linked = every.where("n_shingles > 0")
     least = linked.groupBy("component").agg(F.min("doc_id").alias("component_id")).checkpoint()  # so that the join below shuffles its sides on its own and can be split
     return linked.join(least, "component").select("doc_id", "n_shingles", "component_id").unionByName(every.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
