@@ -63,6 +63,37 @@ def crc16(protected: bytes) -> int:
     return value
 
 
+#: Bits of a Layer II allocation by subband, for each of the format's five tables.
+_ALLOC = {"a": [4] * 11 + [3] * 12 + [2] * 4, "b": [4] * 11 + [3] * 12 + [2] * 7, "c": [4] * 2 + [3] * 6, "d": [4] * 2 + [3] * 10, "lsf": [4] * 4 + [3] * 7 + [2] * 19}
+
+
+def crc16_bits(frame: bytes, h: dict) -> int:
+    """The CRC-16 of a Layer I or II frame: of its header's last two bytes, its allocations and, in Layer II, its selections."""
+    mode, bound = frame[3] >> 6, 4 * ((frame[3] >> 4 & 3) + 1)
+    channels = 1 if mode == 3 else 2
+    if h["layer"] == 1:
+        alloc = [4] * 32
+    elif h["like"][0] != 3:
+        alloc = _ALLOC["lsf"]
+    elif (each := h["kbps"] // channels) <= 48:
+        alloc = _ALLOC["d" if h["hz"] == 32000 else "c"]
+    else:
+        alloc = _ALLOC["a" if each <= 80 or h["hz"] == 48000 else "b"]
+    bits = "".join(f"{x:08b}" for x in frame[6 : 6 + 64])
+    at = selections = 0
+    for band, width in enumerate(alloc):
+        joint = mode == 1 and band >= bound
+        for _ in range(1 if joint else channels):
+            if h["layer"] == 2 and "1" in bits[at : at + width]:
+                selections += 2 * (channels if joint else 1)
+            at += width
+    at += selections
+    value = 0xFFFF
+    for bit in f"{frame[2]:08b}{frame[3]:08b}" + bits[:at]:
+        value = (value << 1 & 0xFFFF) ^ (0x8005 if (value >> 15) ^ int(bit) else 0)
+    return value
+
+
 @lru_cache(maxsize=4096)
 def header(word: bytes) -> dict | None:
     """The fields of a 4-byte frame header, or None if it isn't one (free-format frames aren't read)."""
@@ -141,19 +172,45 @@ def _id3v2(data: bytes, at: int) -> tuple[int, dict[str, str]]:
     return end + 10 * bool(data[at + 5] & 0x10) - at, texts
 
 
+def _trailing(data: bytes, last: int) -> list[tuple[str, int, int]]:
+    """The tags (kind, where it is marked, where it begins) that may end the first `last` bytes, the last one first."""
+    found = []
+    if last >= 128 and data[last - 128 : last - 125] == b"TAG":
+        found.append(("id3v1", last - 128, last - 128))
+        last -= 128
+    if last >= 32 and data[last - 32 : last - 24] == b"APETAGEX":
+        found.append(("ape", last - 32, last - min(last, struct.unpack("<I", data[last - 20 : last - 16])[0] + 32 * (data[last - 9] >> 7))))
+    return found
+
+
 def scan(data: bytes | None) -> dict:
-    """All that a stream has: tags, table, frames (offset, header), checks, duration and the bytes carried."""
+    """All that a stream has: tags, table, frames (offset, header), checks, duration and the bytes carried.
+
+    What looks like a trailing tag is none if a frame covers its mark that the end or another frame follows.
+    """
     data = data or b""
+    if not (tail := _trailing(data, len(data))):
+        return _scan(data, len(data))
+    whole = _scan(data, len(data))
+    starts = {at for at, _ in whole["frames"]} | {len(data)}
+    spans = [(at, at + h["size"]) for at, h in whole["frames"] if at + h["size"] in starts]
+    carried = lambda mark: any(a < mark < z for a, z in spans)
+    if carried(tail[0][1]):
+        tail = [x for x in _trailing(data, len(data)) if x[0] == "ape" and x[1] == len(data) - 32]
+    tail = tail[: next((i for i, x in enumerate(tail) if carried(x[1])), len(tail))]
+    if not tail:
+        return whole
+    found = _scan(data, tail[-1][2])
+    found["tags"] |= {kind: 1 for kind, _, _ in tail}
+    return found
+
+
+def _scan(data: bytes, last: int) -> dict:
+    """The same of the first `last` bytes, without trailing tags."""
     tags, texts, vbr = Counter(), {}, None
     frames: list[tuple[int, dict]] = []
     good = bad = lost = skipped = 0
-    bodies, at, last, like = [], 0, len(data), None
-    if data[-128:-125] == b"TAG":
-        tags["id3v1"] += 1
-        last -= 128
-    if data[last - 32 : last - 24] == b"APETAGEX":
-        tags["ape"] += 1
-        last -= min(last, struct.unpack("<I", data[last - 20 : last - 16])[0] + 32 * (data[last - 9] >> 7))
+    bodies, at, like = [], 0, None
     synced = True
     while at < last:
         if data[at : at + 3] == b"ID3" and at + 10 <= last:
@@ -171,8 +228,8 @@ def scan(data: bytes | None) -> dict:
                 if not frames and vbr is None and (data[at + 4 + h["side"] : at + 8 + h["side"]] in (b"Xing", b"Info") or data[at + 36 : at + 40] == b"VBRI"):
                     vbr = _vbr(data, at, h)
                 else:
-                    if h["protected"] and h["layer"] == 3:
-                        ok = crc16(data[at + 2 : at + 4] + data[at + 6 : at + 6 + h["side"]]) == int.from_bytes(data[at + 4 : at + 6], "big")
+                    if h["protected"]:
+                        ok = (crc16(data[at + 2 : at + 4] + data[at + 6 : at + 6 + h["side"]]) if h["layer"] == 3 else crc16_bits(data[at:then], h)) == int.from_bytes(data[at + 4 : at + 6], "big")
                         good, bad = good + ok, bad + (not ok)
                     frames.append((at, h))
                     bodies.append(data[table:then])

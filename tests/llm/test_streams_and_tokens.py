@@ -112,3 +112,27 @@ def test_empty_tables_and_clashing_columns(spark, serialised):
         assert sorted(str(r["doc_id"]) for r in got) == ["7", "7", "None"]
         same = [r for r in got if r["doc_id"] == 7]
         assert same[0] == same[1]
+
+
+@pytest.mark.parametrize("text", [b"TAG " * 400, b"TAG" * 300, b"APETAGEX" * 100, b"x" * 15 + b"APETAGEX" * 60])
+def test_mpeg_payload_like_a_tag(text):
+    for cut in range(64):
+        payload = text[cut:] + bytes(-len(text[cut:]) % 64)
+        packed = mpeg_audio.pack(payload)
+        for tail, tags in ((b"", {"id3v2": 1}), (b"TAG" + bytes(125), {"id3v2": 1, "id3v1": 1})):
+            found = mpeg_audio.scan(packed + tail)
+            assert mpeg_audio.payload_of(found) == payload and found["tags"] == tags and found["crc_bad"] == 0
+
+
+@pytest.mark.parametrize(("word", "covered"), [(bytes([0xFF, 0xFE, 0x14, 0xC0]), 128), (bytes([0xFF, 0xFE, 0x44, 0x00]), 256), (bytes([0xFF, 0xFE, 0x44, 0x40]), 4 * (8 + 28)), (bytes([0xFF, 0xFC, 0xA4, 0xC0]), 88), (bytes([0xFF, 0xFC, 0xA4, 0x00]), 2 * 88)])
+def test_mpeg_checks_layers_one_and_two(word, covered):
+    """Silent frames: the CRC covers the allocations alone, all zero, so a changed one shows."""
+    h, value = mpeg_audio.header(word), 0xFFFF
+    for bit in f"{word[2]:08b}{word[3]:08b}" + "0" * covered:
+        value = (value << 1 & 0xFFFF) ^ (0x8005 if (value >> 15) ^ int(bit) else 0)
+    frame = word + value.to_bytes(2, "big") + bytes(h["size"] - 6)
+    found = mpeg_audio.scan(frame * 4)
+    assert found["crc_good"] == 4 and found["crc_bad"] == 0
+    bad = frame[:6] + b"\x10" + frame[7:]
+    found = mpeg_audio.scan(frame * 3 + bad)
+    assert found["crc_good"] == 3 and found["crc_bad"] == 1
