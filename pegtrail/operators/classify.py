@@ -10,7 +10,11 @@ from pegtrail.operators.rollups import active
 
 #: The height from which a coinbase script must name its height, and chains whose strict claims count.
 BIP34_ACTIVATION = 227_931
-STRICT_SOURCES = ("auxpow:namecoin", "auxpow:syscoin", "auxpow:fractal", "auxpow:elastos", "auxpow:emercoin")
+STRICT_CHAINS = (
+    "argentum", "bitcoin-vault", "bitmark", "coiledcoin", "crown", "devcoin", "doichain", "elastos", "emercoin", "fractal", "geistgeld", "groupcoin", "huntercoin", "i0coin", "ixcoin", "myriadcoin", "namecoin",
+    "syscoin", "terracoin", "unobtanium",
+)
+STRICT_SOURCES = tuple(f"auxpow:{chain}" for chain in STRICT_CHAINS)
 #: Seconds and heights after which a block beyond the epoch table is held or taken as made up.
 FAR_HEIGHTS = 144
 
@@ -57,19 +61,19 @@ def apply_classification(event: DataFrame, verdict: DataFrame) -> DataFrame:
 def orphan_verdict(orphans: DataFrame, epochs: DataFrame, height_horizon: int, time_horizon: int) -> DataFrame:
     """(hash, verdict, reason) of unknown blocks: (hash, height, time, bits).
 
-    Pending comes first (above either horizon); a script height from activation on that agrees with the epoch of the
-    time and its bits is strict, one that doesn't is excluded; without one, bits of the time's epoch or a neighbour are
-    weak, others excluded.
+    Pending comes first (above either horizon). A script height from activation on that agrees with the epoch of the time
+    is strict if the bits are that epoch's, else excluded. Without one, or if it doesn't agree, bits of the time's epoch or
+    a neighbour are weak, others excluded.
     """
     b = allowed_bits(epochs)
-    placed = epoch_asof(orphans, epochs, time_horizon).join(F.broadcast(b.withColumnRenamed("bits", "epoch_bits")), "epoch", "left")
+    placed = epoch_asof(orphans, epochs, time_horizon).join(F.broadcast(b.withColumnRenamed("bits", "epoch_bits")), "epoch", "left")  # a row for 2016 heights
     has = F.col("height").isNotNull() & (F.col("height") >= BIP34_ACTIVATION)
-    agrees = F.floor(F.col("height") / 2016) * 2016 == F.col("epoch")
+    agrees = has & F.coalesce(F.floor(F.col("height") / 2016) * 2016 == F.col("epoch"), F.lit(False))
     same = F.col("bits") == F.col("epoch_bits")
     near = same | (F.col("bits") == F.col("bits_before")) | (F.col("bits") == F.col("bits_after"))
     rules = [
-        (F.col("height") > height_horizon, "pending", "above_height"), (F.col("time") > time_horizon, "pending", "above_time"), (F.col("epoch").isNull(), "excluded", "before_table"), (has & agrees & same, "strict", "height_and_bits"),
-        (has & ~agrees, "excluded", "wrong_epoch"), (has, "excluded", "wrong_bits"), (F.coalesce(near, F.lit(False)), "weak", "nearby_bits"),
+        (has & (F.col("height") > height_horizon), "pending", "above_height"), (F.col("time") > time_horizon, "pending", "above_time"), (agrees & same, "strict", "height_and_bits"), (agrees, "excluded", "wrong_bits"),
+        (F.col("epoch").isNull(), "excluded", "before_table"), (F.coalesce(near, F.lit(False)), "weak", "nearby_bits"),
     ]
     verdict, reason = F.lit("excluded"), F.lit("foreign_bits")
     for test, v, r in reversed(rules):
@@ -145,9 +149,9 @@ def reclassify_unknown(block: DataFrame, verdict: DataFrame) -> DataFrame:
 def horizon_gate(df: DataFrame, tip: DataFrame, now: int, fresh_s: int = 86400) -> DataFrame:
     """Rows beyond the epoch table: resolved at or below the tip, far_future well above a fresh tip, else held.
 
-    tip: one row (tip_height, tip_time).
+    tip: one row (tip_height, tip_time); without it every row is held.
     """
-    j = df.crossJoin(F.broadcast(tip))
+    j = df.join(F.broadcast(tip), F.lit(True), "left")
     far = (F.col("height") > F.col("tip_height") + FAR_HEIGHTS) & (F.lit(now) - F.col("tip_time") <= fresh_s)
     return j.withColumn("gate", F.when(F.col("height") <= F.col("tip_height"), "resolve").when(far, "far_future").otherwise("hold")).drop("tip_height", "tip_time")
 
@@ -165,21 +169,55 @@ def import_decision(df: DataFrame) -> DataFrame:
     return df.withColumn("decision", rule)
 
 
-def source_sync(df: DataFrame, fresh_days: int = 7) -> DataFrame:
-    """The state of a source: (lifecycle, cursor, tip, error, last_seen, now)."""
-    state = (
-        F.when(F.col("lifecycle") != "live", F.col("lifecycle")).when(F.col("error").isNotNull(), "error").when(F.col("cursor").isNull(), "not_started").when(F.col("cursor") < F.col("tip"), "catching_up")
-        .when(F.col("now") - F.col("last_seen") > fresh_days * 86400, "stale").otherwise("live")
+def source_sync(df: DataFrame, fresh_s: int = 3600) -> DataFrame:
+    """The state of a source: (lifecycle, source_kind, cursor, tip, error, updated_at, now).
+
+    A lifecycle other than live is the state itself. The node's own source goes by its backbone: an error first, then a
+    stale update, then its height against the tip; a capture by its cursor: a stale update before a height below the tip.
+    """
+    stale = F.col("now") - F.col("updated_at") > fresh_s
+    behind = F.coalesce(F.col("cursor") < F.col("tip"), F.lit(False))
+    backbone = (
+        F.when(F.col("cursor").isNull(), "not_started").when(F.col("error").isNotNull(), "error").when(stale, "stale").when(F.col("tip").isNull() | (F.col("cursor") < 0), "not_started")
+        .when(behind, "catching_up").otherwise("live")
     )
+    capture = F.when(F.col("cursor").isNull(), "not_started").when(stale, "stale").when(behind, "catching_up").otherwise("live")
+    state = F.when(F.col("lifecycle") != "live", F.col("lifecycle")).when(F.col("source_kind") == "live-chaintip", backbone).when(F.col("source_kind") == "auxpow", capture).otherwise("unknown")
     return df.withColumn("state", state)
 
 
 def publication_category(df: DataFrame) -> DataFrame:
-    """The category of a published row by (classification, relevance, status): or mismatch."""
-    valid = F.col("status").rlike(r"^VALID($|\s|\()")
-    c, r = F.col("classification"), F.col("relevance")
-    rule = F.when(~valid, "invalid").when((c == "canonical") & r.isNull(), "canonical").when((c == "stale") & r.isNull(), "stale").when((c == "orphan") & r.isin("strict", "weak", "excluded"), F.concat(r, F.lit("_orphan"))).otherwise("mismatch")
-    return df.withColumn("category", F.coalesce(rule, F.lit("mismatch")))
+    """`category` of a published row by (classification, relevance, relevance_reason, status), or `skip_reason`.
+
+    Published stale branches are told by the reason, canonical rows and orphans by class and relevance. Only direct
+    stales need a status that begins with the word VALID, and descendants one of their own.
+    """
+    c = F.coalesce(F.trim("classification"), F.lit(""))
+    relevance, reason, status = (F.coalesce(x, F.lit("")) for x in ("relevance", "relevance_reason", "status"))
+    found = (
+        F.when(c.isin("stale", "unknown") & (relevance == "") & (reason == "valid_direct_stale"), "stale").when(c.isin("stale_descendant", "unknown") & (relevance == "") & (reason == "valid_stale_descendant"), "stale_descendant")
+        .when(reason.isin("valid_direct_stale", "valid_stale_descendant"), "!taxonomy_mismatch").when((c == "canonical") & (relevance == ""), "canonical")
+        .when((c == "unknown") & relevance.isin("strict_btc_orphan", "weak_btc_orphan"), relevance).when(c == "near", "!near").when(c.isin("canonical", "stale", "stale_descendant", "unknown"), "!taxonomy_mismatch")
+        .otherwise("!unsupported_classification")
+    )
+    fits = F.when(found == "stale", status.rlike(r"^VALID($|\s|\()")).when(found == "stale_descendant", status == "VALID_STALE_DESCENDANT").otherwise(True)
+    found = F.when(fits, found).otherwise("!taxonomy_mismatch")
+    good = ~F.startswith(found, F.lit("!"))
+    return df.withColumn("category", F.when(good, found)).withColumn("skip_reason", F.when(~good, F.substring(found, 2, 100)))
+
+
+def filter_unknown(df: DataFrame) -> DataFrame:
+    """`skip_reason` of unknown published rows: (verdict, selection); null if the row is taken.
+
+    Published stale branches are taken whatever the verdict. An orphan is taken if the verdict is the published class;
+    a weak one may be published as strict, a strict one never as weak.
+    """
+    v, s = F.col("verdict"), F.coalesce("selection", F.lit(""))
+    rule = (
+        F.when(s.isin("stale", "stale_descendant"), None).when((s == "strict_btc_orphan") & v.isin("strict", "weak"), None).when((s == "weak_btc_orphan") & (v == "weak"), None)
+        .when((s == "weak_btc_orphan") & (v == "strict"), "taxonomy_mismatch").when(v.isin("strict", "weak"), "orphan_not_selected").when(v == "excluded", "orphan_excluded").otherwise("orphan_pending")
+    )
+    return df.withColumn("skip_reason", rule)
 
 
 def should_write(policy: Column, old: Column, new: Column, old_rank: Column, new_rank: Column) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -12,7 +14,10 @@ MOST_ROUNDS = 40
 def _folder(df: DataFrame) -> None:
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints/pegtrail")
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not re.match(r"local(\[|$)", context.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        context.setCheckpointDir(folder or "/tmp/checkpoints/pegtrail")
 
 
 def roots(df: DataFrame) -> DataFrame:
@@ -130,18 +135,23 @@ def tree_edges(nodes: DataFrame, hidden: DataFrame) -> DataFrame:
 def cascade(changed: DataFrame, block: DataFrame) -> DataFrame:
     """(hash, round): what must be looked at again: children of what changed, and stale blocks whose competitor did, to a fixpoint.
 
-    A round is one link, and its rows are those first reached by it, so the loop ends when nothing new is reached,
-    cycles and chains of any length included.
+    A row's round is the least number of links from anything changed. Rounds below 2**k are known after k steps, each of
+    which follows paths of twice the length, so that a chain of a million blocks takes twenty. What a step reaches for
+    the first time has a round of 2**k or more, and where rounds go on there is one of just 2**k: a step that reaches
+    nothing is the last, cycles included.
     """
     _folder(block)
-    links = block.select(F.col("prev_hash").alias("source"), "hash").unionByName(block.where("competitor_hash is not null").select(F.col("competitor_hash").alias("source"), "hash")).distinct().checkpoint()
-    seen = changed.select("hash", F.lit(0).alias("round")).distinct().checkpoint()
-    front, k = seen, 0
-    while not front.isEmpty():
-        k += 1
-        front = links.join(front.select(F.col("hash").alias("source")), "source").select("hash").distinct().join(seen.select("hash"), "hash", "left_anti").select("hash", F.lit(k).alias("round")).checkpoint()
-        seen = seen.unionByName(front).checkpoint()
-    return seen
+    links = block.select(F.col("prev_hash").alias("source"), "hash").unionByName(block.where("competitor_hash is not null").select(F.col("competitor_hash").alias("source"), "hash"))
+    known = block.select(F.col("hash").alias("source")).distinct()
+    paths = links.join(known, "source", "left_semi").unionByName(links.join(changed.select(F.col("hash").alias("source")), "source", "left_semi")).distinct().checkpoint()
+    seen, length = changed.select("hash", F.lit(0).cast("long").alias("round")).distinct().checkpoint(), 1
+    while True:
+        new = seen.withColumnRenamed("hash", "source").join(paths, "source").groupBy("hash").agg(F.min(F.col("round") + length).alias("round")).join(seen.select("hash"), "hash", "left_anti").checkpoint()
+        if new.isEmpty():
+            return seen
+        seen = seen.unionByName(new).checkpoint()
+        paths = paths.join(paths.select(F.col("source").alias("hash"), F.col("hash").alias("end")), "hash").select("source", F.col("end").alias("hash")).distinct().checkpoint()
+        length *= 2
 
 
 def infer_stale(block: DataFrame) -> DataFrame:

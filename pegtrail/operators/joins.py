@@ -173,3 +173,52 @@ def unlinked_dependents(block: DataFrame) -> DataFrame:
 
 def hidden(kind: Column) -> Column:
     return kind == "hidden"
+
+
+def nearest_canonical(block: DataFrame, times: DataFrame, step: int = 86400) -> DataFrame:
+    """(t, height, off) for each time: the canonical block nearest in time, ties by the least height.
+
+    As in `height_at_time`, times meet the blocks of their own day, and the last block before and the first after it.
+    """
+    day = lambda c: F.floor(F.col(c) / step)
+    best = block.where("kind = 'canonical' and height is not null").groupBy("time").agg(F.min("height").alias("height")).withColumn("d", day("time"))
+    daily = best.groupBy("d").agg(F.max(F.struct("time", "height")).alias("late"), F.min(F.struct("time", "height")).alias("early"))
+    wanted = times.select("t").where("t is not null").distinct().withColumn("d", day("t"))
+    days = wanted.select("d").distinct().join(daily, "d", "full_outer")
+    w = W.orderBy("d")
+    ends = days.select("d", F.max("late").over(w.rowsBetween(W.unboundedPreceding, -1)).alias("before"), F.min("early").over(w.rowsBetween(1, W.unboundedFollowing)).alias("after"))
+    own = wanted.join(best, "d", "left").select("t", "d", F.struct(F.abs(F.col("time") - F.col("t")).alias("off"), "height").alias("b"), F.col("time").isNotNull().alias("has"))
+    near = own.groupBy("t", "d").agg(F.min(F.when(F.col("has"), F.col("b"))).alias("own")).join(ends, "d")
+    off = lambda c: F.when(F.col(c).isNotNull(), F.struct(F.abs(F.col(f"{c}.time") - F.col("t")).alias("off"), F.col(f"{c}.height").alias("height")))
+    found = near.select("t", F.array_min(F.filter(F.array("own", off("before"), off("after")), lambda x: x.isNotNull())).alias("b"))
+    return found.select("t", "b.height", "b.off")
+
+
+#: Reasons of publications that name a row part of a stale branch.
+STALE_REASONS = ("valid_direct_stale", "valid_stale_descendant")
+
+
+def published_stale(event: DataFrame, provenance: DataFrame) -> DataFrame:
+    """Live events that a publication attests as part of a stale branch. provenance: (event_id, relevance_reason)."""
+    return event.where("revoked_at is null").join(provenance.where(F.col("relevance_reason").isin(*STALE_REASONS)), "event_id", "left_semi")
+
+
+def stale_targets(event: DataFrame, provenance: DataFrame, block: DataFrame) -> DataFrame:
+    """(hash): parents of published stale branches that have no block or an unknown one."""
+    named = published_stale(event, provenance).select(F.col("parent_hash").alias("hash")).distinct()
+    return named.join(block.where("kind <> 'unknown'").select("hash"), "hash", "left_anti")
+
+
+def sources_base(source: DataFrame, cursor: DataFrame, backbone: DataFrame) -> DataFrame:
+    """Sources with their cursor (source_id, cursor, target, updated_at) and contiguous backbone (source_id, contiguous, tip, error), where they have one."""
+    return source.join(F.broadcast(cursor), "source_id", "left").join(F.broadcast(backbone), "source_id", "left")  # one row a source each
+
+
+def attribute_parent(tagged: DataFrame, paid: DataFrame, pool: DataFrame) -> DataFrame:
+    """(row_id, basis, slug, pool_id): the tag's slug, else the payout's; a slug that no pool has gives no pool.
+
+    tagged: (row_id, tag_slug), paid: (row_id, payout_slug); the second only counts where no tag matched at all.
+    """
+    j = tagged.join(paid, "row_id", "full_outer").withColumn("slug", F.coalesce("tag_slug", "payout_slug"))
+    basis = F.when(F.col("tag_slug").isNotNull(), "tag").when(F.col("payout_slug").isNotNull(), "payout")
+    return j.withColumn("basis", basis).join(F.broadcast(pool.select("slug", "pool_id")), "slug", "left").select("row_id", "basis", "slug", "pool_id")  # registries have some hundred pools

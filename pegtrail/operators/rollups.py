@@ -12,35 +12,48 @@ def active() -> Column:
     return F.col("revoked_at").isNull() & (F.col("parent_kind") != "near") & F.col("pow_ok")
 
 
+def attested() -> Column:
+    """Not revoked and not near, whether or not the event itself meets the parent's target."""
+    return F.col("revoked_at").isNull() & (F.col("parent_kind") != "near")
+
+
 def parent_rollup(event: DataFrame, source: DataFrame) -> DataFrame:
-    """One row for each parent of active events: attestations, sources, auxiliary chains, first and last sight."""
-    e = event.where(active()).join(F.broadcast(source), "source_id")
-    return e.groupBy("parent_hash").agg(
-        F.count("*").alias("attestations"), F.count_distinct("source_id").alias("sources"), F.count_distinct(F.when(F.col("source_kind") == "auxpow", F.col("source_id"))).alias("chains"),
-        F.bool_or(F.col("source_kind") == "live-chaintip").alias("live"), F.bool_or("pow_ok").alias("pow"), F.min("discovered_at").alias("first_seen"), F.max("confirmed_at").alias("last_seen"),
+    """One row for each attested parent: attestations, sources, auxiliary chains, first and last sight, and whether any event
+    meets the target (`pow`) and any has the epoch's bits (`epoch_ok`, null if none says).
+
+    Events are summed by parent and source first, so that no distinct count multiplies them.
+    """
+    by_source = event.where(attested()).groupBy("parent_hash", "source_id").agg(F.count("*").alias("n"), F.bool_or("pow_ok").alias("pow"), F.bool_or("epoch_ok").alias("epoch_ok"), F.min("discovered_at").alias("first"), F.max("confirmed_at").alias("last"))
+    return by_source.join(F.broadcast(source), "source_id").groupBy("parent_hash").agg(
+        F.sum("n").alias("attestations"), F.count("*").alias("sources"), F.size(F.collect_set(F.when(F.col("source_kind") == "auxpow", F.col("code")))).cast("long").alias("chains"),
+        F.bool_or(F.col("source_kind") == "live-chaintip").alias("live"), F.coalesce(F.bool_or("pow"), F.lit(False)).alias("pow"), F.bool_or("epoch_ok").alias("epoch_ok"), F.min("first").alias("first_seen"), F.max("last").alias("last_seen"),
     )
 
 
 def build_proofs(event: DataFrame) -> DataFrame:
-    """One row for each parent and source: live with its sorted active ids, or else a revoked tombstone with all of them."""
-    e = event.where("parent_kind <> 'near'")
+    """One row for each parent and source: live with its sorted active ids, or else a revoked tombstone with all of them.
+
+    First sight is that of all events; confirmation and proof of work are of the active ones, for a tombstone of all. Its
+    reason is that of the last revocation, ties by the least id.
+    """
     on = F.col("revoked_at").isNull()
     last = F.struct("revoked_at", (-F.col("event_id")).alias("id"))
-    g = e.groupBy("parent_hash", "source_id").agg(
-        F.array_sort(F.collect_list(F.when(on, F.col("event_id")))).alias("live_ids"), F.array_sort(F.collect_list("event_id")).alias("all_ids"), F.min(F.when(on, F.col("discovered_at"))).alias("live_first"),
-        F.min("discovered_at").alias("any_first"), F.max("revoked_at").alias("last_revoked"), F.max_by(F.when(~on, F.col("reason")), F.when(~on, last)).alias("last_reason"),
+    g = event.where("parent_kind <> 'near'").groupBy("parent_hash", "source_id").agg(
+        F.array_sort(F.collect_list(F.struct("event_id", on.alias("on")))).alias("every"), F.bool_or(on).alias("live"), F.min("discovered_at").alias("first_seen"), F.min(F.when(on, F.col("confirmed_at"))).alias("live_confirmed"),
+        F.min("confirmed_at").alias("any_confirmed"), F.bool_or(F.when(on, F.col("pow_ok"))).alias("live_pow"), F.bool_or("pow_ok").alias("any_pow"), F.max("revoked_at").alias("last_revoked"), F.max_by("reason", F.when(~on, last)).alias("last_reason"),
     )
-    is_live = F.size("live_ids") > 0
+    ids = F.transform(F.filter("every", lambda e: e["on"] | ~F.col("live")), lambda e: e["event_id"])
+    pick = lambda a, b: F.when(F.col("live"), F.col(a)).otherwise(F.col(b))
     return g.select(
-        "parent_hash", "source_id", is_live.alias("live"), F.when(is_live, F.col("live_ids")).otherwise(F.col("all_ids")).alias("ids"), F.when(is_live, F.col("live_first")).otherwise(F.col("any_first")).alias("first_seen"),
-        F.when(~is_live, F.col("last_revoked")).alias("revoked_at"), F.when(~is_live, F.col("last_reason")).alias("reason"),
+        "parent_hash", "source_id", "live", ids.alias("ids"), "first_seen", pick("live_confirmed", "any_confirmed").alias("confirmed_at"), F.coalesce(pick("live_pow", "any_pow"), F.lit(False)).alias("pow"),
+        F.when(~F.col("live"), F.col("last_revoked")).alias("revoked_at"), F.when(~F.col("live"), F.col("last_reason")).alias("reason"),
     )
 
 
 def representative(event: DataFrame) -> DataFrame:
-    """Each parent's event with a child hash first, then the least child height (nulls last), then the least id."""
-    order = F.struct(F.col("child_hash").isNull().alias("a"), F.col("child_height").isNull().alias("b"), "child_height", "event_id")
-    return event.where(active()).groupBy("parent_hash").agg(F.min(order).alias("o"), F.min_by("source_id", order).alias("source_id")).select("parent_hash", F.col("o.event_id").alias("event_id"), "source_id", F.col("o.child_height").alias("child_height"))
+    """Each attested parent's event with a coinbase script first, then the least child height (nulls last), then the least id."""
+    order = F.struct(F.col("coinbase").isNull().alias("a"), F.col("child_height").isNull().alias("b"), "child_height", "event_id")
+    return event.where(attested()).groupBy("parent_hash").agg(F.min(order).alias("o"), F.min_by("source_id", order).alias("source_id")).select("parent_hash", F.col("o.event_id").alias("event_id"), "source_id", F.col("o.child_height").alias("child_height"))
 
 
 def source_health(event: DataFrame, block: DataFrame, source: DataFrame) -> DataFrame:
@@ -130,7 +143,14 @@ def weekly_series(event: DataFrame, source: DataFrame) -> DataFrame:
     return weeks.join(n, ["source_id", "week"], "left").join(F.broadcast(source), "source_id").select("code", "week", F.coalesce("n", F.lit(0)).alias("n"))
 
 
-def parent_gaps(event: DataFrame) -> DataFrame:
-    """Seconds between consecutive distinct full-target sights of each source."""
-    seen = event.where("pow_ok and revoked_at is null").select("source_id", "discovered_at").distinct()
-    return seen.select("source_id", "discovered_at", (F.col("discovered_at") - F.lag("discovered_at").over(W.partitionBy("source_id").orderBy("discovered_at"))).alias("gap_s"))
+def parent_gaps(event: DataFrame, step: int = 86400) -> DataFrame:
+    """Seconds between consecutive distinct full-target sights of each source.
+
+    A source's sights are ordered day by day; the first of a day follows the last of the days before, a running maximum
+    over one row a day.
+    """
+    seen = event.where("pow_ok and revoked_at is null").select("source_id", "discovered_at", F.floor(F.col("discovered_at") / step).alias("day")).distinct()
+    own = seen.withColumn("before", F.lag("discovered_at").over(W.partitionBy("source_id", "day").orderBy("discovered_at")))
+    days = seen.groupBy("source_id", "day").agg(F.max("discovered_at").alias("last"))
+    carried = days.select("source_id", "day", F.max("last").over(W.partitionBy("source_id").orderBy("day").rowsBetween(W.unboundedPreceding, -1)).alias("carried"))
+    return own.join(carried, ["source_id", "day"]).select("source_id", "discovered_at", (F.col("discovered_at") - F.coalesce("before", "carried")).alias("gap_s"))

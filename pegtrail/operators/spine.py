@@ -99,21 +99,26 @@ def hidden_edges(visible: DataFrame, block: DataFrame) -> DataFrame:
 
 
 def reduce_nodes(nodes: DataFrame, limit: int = 500) -> DataFrame:
-    """Nodes of each window, without the interiors of the longest removable runs while there are more than `limit`.
+    """Nodes of each window, without removable interiors of its longest canonical runs while there are more than `limit`.
 
-    nodes: (window_id, height, hash, removable). A run is consecutive heights of removable nodes; its two ends stay, so
-    runs of two or less never shrink. Runs go longest first, ties by the first hash that would go.
+    nodes: (window_id, height, hash, prev_hash, kind, removable). In the order of height and hash, a run is canonical nodes
+    each of which names the one before; its two ends stay, and of what is between the removable ones go. Runs with most to
+    remove go first, ties by the first hash that would go. A removed run leaves ends that nothing links, so that runs are
+    found once. `too_large` marks windows that stay above the limit. Nodes without a height are in no run.
     """
-    w = W.partitionBy("window_id").orderBy("height")
-    run = nodes.where("removable").withColumn("step", F.when(F.col("height") - F.lag("height").over(w) == 1, 0).otherwise(1)).withColumn("run", F.sum("step").over(w))
+    w = W.partitionBy("window_id").orderBy("height", "hash")
+    placed = nodes.where("height is not null")
+    follows = (F.col("kind") == "canonical") & F.coalesce((F.lag("kind").over(w) == "canonical") & (F.lag("hash").over(w) == F.col("prev_hash")), F.lit(False))
+    run = placed.withColumn("step", F.when(follows, 0).otherwise(1)).withColumn("run", F.sum("step").over(w)).withColumn("place", F.row_number().over(w)).where("kind = 'canonical'")
     by_run = W.partitionBy("window_id", "run")
-    inside = run.withColumn("first", F.min("height").over(by_run)).withColumn("last", F.max("height").over(by_run)).where("height > first and height < last")
-    sizes = inside.groupBy("window_id", "run").agg(F.count("*").alias("size"), F.min_by("hash", "height").alias("h"))
+    inside = run.withColumn("first", F.min("place").over(by_run)).withColumn("last", F.max("place").over(by_run)).where("place > first and place < last and removable")
+    sizes = inside.groupBy("window_id", "run").agg(F.count("*").alias("size"), F.min_by("hash", "place").alias("h"))
     count = nodes.groupBy("window_id").agg(F.count("*").alias("nodes"))
     order = W.partitionBy("window_id").orderBy(F.col("size").desc(), "h").rowsBetween(W.unboundedPreceding, -1)
-    gone = sizes.withColumn("before", F.coalesce(F.sum("size").over(order), F.lit(0))).join(count, "window_id").where(F.col("nodes") - F.col("before") > limit).select("window_id", "run")
+    gone = sizes.withColumn("before", F.coalesce(F.sum("size").over(order), F.lit(0))).join(count, "window_id").where(F.col("nodes") - F.col("before") > limit).select("window_id", "run", "size")
     dropped = inside.join(gone, ["window_id", "run"], "left_semi").select("window_id", "hash")
-    return nodes.join(dropped, ["window_id", "hash"], "left_anti")
+    left = count.join(gone.groupBy("window_id").agg(F.sum("size").alias("gone")), "window_id", "left").select("window_id", (F.col("nodes") - F.coalesce("gone", F.lit(0)) > limit).alias("too_large"))
+    return nodes.join(dropped, ["window_id", "hash"], "left_anti").join(left, "window_id")
 
 
 def page(df: DataFrame, keys: list[Column], after: Column | None, n: int) -> DataFrame:
@@ -151,19 +156,26 @@ def has_edge(df: DataFrame, predicate: Column) -> DataFrame:
     return df.where(predicate).limit(1).agg((F.count("*") > 0).alias("found"))
 
 
-def nearest_strip(block: DataFrame, anchors: DataFrame, k: int) -> DataFrame:
-    """For each anchor: its k nearest canonical blocks in height order, balanced: a side that runs short gives its share to the other.
+def nearest_strip(block: DataFrame, anchors: DataFrame, classes: list[str], k: int = 249, step: int = 604_800) -> DataFrame:
+    """For each anchor, itself and its k nearest unknown blocks in the order of time and hash, balanced: half of them newer, and a
+    side that runs short gives its share to the other.
 
-    anchors: (anchor_id, height). Only heights within k of the anchor can be among them, so those are joined by height.
+    anchors: (anchor_id), hashes of unknown blocks of the classes; others have no strip. Blocks are numbered week by week
+    over the weeks' totals, and an anchor's neighbours are the numbers around its own, so that no window is opened for it.
     """
-    around = anchors.select("anchor_id", F.col("height").alias("a"), F.explode(F.sequence(F.col("height") - k, F.col("height") + k)).alias("height"))
-    near = around.join(clean_spine(block).select("height", "hash"), "height").where("height <> a").withColumn("side", F.when(F.col("height") < F.col("a"), 0).otherwise(1))
-    w = W.partitionBy("anchor_id", "side")
-    ranked = near.withColumn("rank", F.row_number().over(w.orderBy(F.abs(F.col("height") - F.col("a"))))).withColumn("own", F.count("*").over(w))
-    other = F.sum("one").over(W.partitionBy("anchor_id")) - F.col("own")
-    half = F.when(F.col("side") == 0, F.lit((k + 1) // 2)).otherwise(F.lit(k // 2))
-    take = F.greatest(half, F.lit(k) - other)
-    return ranked.withColumn("one", F.lit(1)).withColumn("take", take).where("rank <= take").select("anchor_id", "height", "hash")
+    from pegtrail.operators.joins import filter_orphan_class
+
+    rows = filter_orphan_class(block.where("kind = 'unknown'"), classes).select("hash", "time", F.floor(F.col("time") / step).alias("week"))
+    weeks = rows.groupBy("week").agg(F.count("*").alias("n"))
+    before = weeks.select("week", F.coalesce(F.sum("n").over(W.orderBy("week").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    numbered = rows.withColumn("own", F.row_number().over(W.partitionBy("week").orderBy("time", "hash"))).join(before, "week").select("hash", "time", (F.col("before") + F.col("own") - 1).alias("place"))
+    total = weeks.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total"))
+    at = numbered.join(anchors.select(F.col("anchor_id").alias("hash")).distinct(), "hash").select(F.col("hash").alias("anchor_id"), F.col("place").alias("own")).crossJoin(F.broadcast(total))
+    newer, older = F.least(F.col("total") - 1 - F.col("own"), F.lit(k)), F.least(F.col("own"), F.lit(k))
+    first = F.least(newer, F.lit((k + 1) // 2))
+    below = F.least(older, k - first)
+    around = at.select("anchor_id", F.explode(F.sequence(F.col("own") - below, F.col("own") + F.least(newer, k - below))).alias("place"))
+    return around.join(numbered, "place").select("anchor_id", "time", "hash")
 
 
 def merge_windows(df: DataFrame, by: str = "group_id") -> DataFrame:
@@ -192,3 +204,22 @@ def navigation_windows(targets: DataFrame, block: DataFrame, budget: int, pad: i
     here, off = F.col("z.h") - F.coalesce("a.h", F.lit(0)), F.col("z.s") - F.coalesce("a.s", F.lit(0))
     good = joined.where((here == F.col("high") - F.col("low") + 1) & (off <= budget))
     return good.groupBy("target_id").agg(F.min(F.struct("low", (-F.col("high")).alias("neg"))).alias("b")).select("target_id", F.col("b.low").alias("low"), (-F.col("b.neg")).alias("high"))
+
+
+def navigate_branches(branches: DataFrame, n: int, cursor: tuple | None = None, newer: bool = False, anchor: str | None = None) -> DataFrame:
+    """A page of branches (root, low, high, members): the greatest `high` first, then the greatest `low`, then the least root.
+
+    A cursor (high, low, root) gives the branches behind it, or with `newer` those before it, nearest first; an anchor
+    gives the branch that it is a member of.
+    """
+    if anchor is not None:
+        return branches.where(F.array_contains("members", anchor))
+    keys = [F.col("high"), F.col("low"), F.col("root")]
+    if cursor is None:
+        return page(branches, [keys[0].desc(), keys[1].desc(), keys[2].asc()], None, n)
+    high, low, root = (F.lit(x) for x in cursor)
+    if newer:
+        after = (keys[0] > high) | (keys[0] == high) & ((keys[1] > low) | (keys[1] == low) & (keys[2] < root))
+        return page(branches, [keys[0].asc(), keys[1].asc(), keys[2].desc()], after, n)
+    after = (keys[0] < high) | (keys[0] == high) & ((keys[1] < low) | (keys[1] == low) & (keys[2] > root))
+    return page(branches, [keys[0].desc(), keys[1].desc(), keys[2].asc()], after, n)

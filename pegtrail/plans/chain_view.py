@@ -68,7 +68,9 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("h").alias("parent_height"),
         kind.alias("parent_kind"),
         F.when(F.col("l_suppkey") % 7 == 0, None).otherwise(F.col("l_suppkey") % 100).alias("child_pool_id"),
-        (tag != "n").alias("pow_ok"),
+        ((tag != "n") & (F.col("l_partkey") % 31 != 0)).alias("pow_ok"),
+        F.when(F.col("l_partkey") % 4 != 0, F.col("l_partkey") % 5 != 0).alias("epoch_ok"),
+        F.when(F.col("l_linenumber") % 3 != 0, F.concat(F.lit("cb"), F.col("l_partkey").cast("string"))).alias("coinbase"),
         seen.alias("discovered_at"),
         (seen + F.col("l_linenumber") * 60).alias("confirmed_at"),
         F.when(F.col("l_returnflag") == "R", seen + 86400).alias("revoked_at"),
@@ -115,7 +117,8 @@ event as (
     case when l_linestatus = 'O' then null else sha256((l_suppkey % 6 + 1) || ':' || l_orderkey || ':' || l_linenumber) end as child_hash,
     sha256(tag || cast(h as varchar)) as parent_hash, h as parent_height,
     case tag when 's' then 'stale' when 'u' then 'unknown' when 'e' then 'error_block' when 'n' then 'near' else 'canonical' end as parent_kind,
-    case when l_suppkey % 7 = 0 then null else l_suppkey % 100 end as child_pool_id, tag <> 'n' as pow_ok, seen as discovered_at, seen + l_linenumber * 60 as confirmed_at,
+    case when l_suppkey % 7 = 0 then null else l_suppkey % 100 end as child_pool_id, tag <> 'n' and l_partkey % 31 <> 0 as pow_ok, case when l_partkey % 4 <> 0 then l_partkey % 5 <> 0 end as epoch_ok,
+    case when l_linenumber % 3 <> 0 then 'cb' || l_partkey end as coinbase, seen as discovered_at, seen + l_linenumber * 60 as confirmed_at,
     case when l_returnflag = 'R' then seen + 86400 end as revoked_at, case when l_returnflag = 'R' then 'reason-' || (l_linenumber % 3) end as reason
   from le),
 source as (

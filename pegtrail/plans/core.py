@@ -23,16 +23,13 @@ COMP = """
   from block s join block c on s.competitor_hash = c.hash and s.height = c.height left join pool sp on sp.pool_id = s.pool_id left join pool cp on cp.pool_id = c.pool_id
   where s.kind = 'stale' and c.kind = 'canonical')
 """
-ACTIVE = "revoked_at is null and parent_kind <> 'near' and pow_ok"
+ATTESTED = "revoked_at is null and parent_kind <> 'near'"
+ACTIVE = f"{ATTESTED} and pow_ok"
 
 
-def _times(spark, sf):
-    return V.events(spark, sf).select(F.col("discovered_at").alias("t")).distinct()
-
-
-def _heights(block):
-    """Times on the scale of the blocks: one for every 50th order."""
-    return block.where("kind = 'canonical' and height % 50 = 0").select((F.col("time") + 300).alias("t"))
+def _times(block):
+    """A time for each block of any kind, most of them between two canonical ones."""
+    return block.select((F.col("time") + 300).alias("t"))
 
 
 def _windows(block):
@@ -65,7 +62,7 @@ def delta_table(spark, sf):
 
 
 def delta_outliers(spark, sf):
-    return C.delta_outliers(_comp(spark, sf), HALF, 50).select("stale_hash", "delta_s")
+    return C.delta_outliers(_comp(spark, sf), HALF, 250).select("stale_hash", "delta_s")
 
 
 def competitions_of_years(spark, sf):
@@ -134,7 +131,7 @@ def parent_gaps(spark, sf):
 def filtered_blocks(spark, sf):
     """Kind, orphan class and window filters at once."""
     b = J.filter_orphan_class(J.filter_kinds(V.blocks(spark, sf), ["unknown"]), ["strict", "pending"])
-    return J.window_blocks(b, 100, 5000, V.GENESIS_TIME, V.GENESIS_TIME + 3_000_000).select("hash", "height", "orphan_class")
+    return J.window_blocks(b, 100, 1 << 30, V.GENESIS_TIME, 1 << 31).select("hash", "height", "orphan_class")
 
 
 def sourced_blocks(spark, sf):
@@ -167,7 +164,7 @@ def known_stale(spark, sf):
 
 def height_at_time(spark, sf):
     b = V.blocks(spark, sf)
-    return J.height_at_time(b, _heights(b))
+    return J.height_at_time(b, _times(b))
 
 
 def _epochs(block):
@@ -211,8 +208,53 @@ def match_tags(spark, sf):
     return J.match_tags(names, _tags(spark, sf))
 
 
+def match_tags_fast(spark, sf):
+    """The same by an automaton; the tags are the first words of part names, some hundred whatever the table."""
+    names = spark.read.parquet(f"{sf}/part.parquet").select(F.col("p_partkey").alias("row_id"), F.lower("p_name").alias("text"))
+    return J.match_tags_fast(names, [r["tag"] for r in _tags(spark, sf).collect()])
+
+
+def nearest_canonical(spark, sf):
+    b = V.blocks(spark, sf)
+    return J.nearest_canonical(b.where("kind <> 'canonical' or height % 97 <> 13"), b.where("kind = 'unknown'").select(F.col("time").alias("t")))
+
+
+def _provenance(spark, sf):
+    """Events named by a publication: a reason by the child's height."""
+    h = F.col("child_height") % 5
+    return V.events(spark, sf).where("child_height % 5 <= 2").select("event_id", F.when(h == 0, "valid_direct_stale").when(h == 1, "valid_stale_descendant").otherwise("other").alias("relevance_reason"))
+
+
+PROVENANCE = ", prov as (select event_id, case child_height % 5 when 0 then 'valid_direct_stale' when 1 then 'valid_stale_descendant' else 'other' end as relevance_reason from event where child_height % 5 <= 2)"
+
+
+def published_stale(spark, sf):
+    return J.published_stale(V.events(spark, sf), _provenance(spark, sf)).select("event_id", "parent_hash")
+
+
+def stale_targets(spark, sf):
+    return J.stale_targets(V.events(spark, sf), _provenance(spark, sf), V.blocks(spark, sf))
+
+
+def sources_base(spark, sf):
+    """Cursors from each auxiliary source's events, a backbone from the spine."""
+    e = V.events(spark, sf)
+    cursor = e.where("source_id <= 4").groupBy("source_id").agg(F.max("child_height").alias("cursor"), (F.max("child_height") + F.min("child_height")).alias("target"), F.max("confirmed_at").alias("updated_at"))
+    backbone = V.blocks(spark, sf).where("kind = 'canonical'").agg(F.lit(6).cast("long").alias("source_id"), (F.max("height") - 1).alias("contiguous"), F.max("height").alias("tip"), F.lit(None).cast("string").alias("error"))
+    return J.sources_base(V.sources(spark), cursor, backbone)
+
+
+def attribute_parent(spark, sf):
+    """Tags from suppliers of even keys, payouts from all but every third; pools of a third of the slugs are missing."""
+    s = spark.read.parquet(f"{sf}/supplier.parquet").select(F.col("s_suppkey").alias("row_id"), "s_name", "s_nationkey")
+    tagged = s.select("row_id", F.when(F.col("row_id") % 2 == 0, F.concat(F.lit("slug-"), F.col("s_nationkey").cast("string"))).alias("tag_slug"))
+    paid = s.where("row_id % 3 <> 0").select("row_id", F.concat(F.lit("slug-"), ((F.col("s_nationkey") + 1) % 25).cast("string")).alias("payout_slug"))
+    pool = s.where("s_nationkey % 3 <> 0").groupBy("s_nationkey").agg(F.min("row_id").alias("pool_id")).select(F.concat(F.lit("slug-"), F.col("s_nationkey").cast("string")).alias("slug"), "pool_id")
+    return J.attribute_parent(tagged, paid, pool)
+
+
 def compact_seed(spark, sf):
-    return J.compact_seed(V.blocks(spark, sf), V.events(spark, sf), [0, 100, 1000], 200, 900)
+    return J.compact_seed(V.blocks(spark, sf), V.events(spark, sf), [0, 100, 1000], 200, 1 << 30)
 
 
 def with_context(spark, sf):
@@ -229,7 +271,8 @@ QUERIES = {
     for f in (
         competitions, delta_histogram, delta_stats, delta_coverage, delta_ecdf, delta_table, delta_outliers, competitions_of_years, parent_rollup, build_proofs, representative, source_health, health_diff,
         invalid_unknown, display_miner, child_chain_evidence, source_summary, orphan_facets, navigator_totals, duplicate_identities, weekly_series, parent_gaps, filtered_blocks, sourced_blocks, event_details,
-        linked_orphans, direct_parents, removed_events, known_stale, height_at_time, epoch_asof, allowed_bits, window_coverage, window_budget, match_tags, compact_seed, with_context, unlinked_dependents,
+        linked_orphans, direct_parents, removed_events, known_stale, height_at_time, epoch_asof, allowed_bits, window_coverage, window_budget, match_tags, match_tags_fast, nearest_canonical,
+        published_stale, stale_targets, sources_base, attribute_parent, compact_seed, with_context, unlinked_dependents,
     )
 }
 
@@ -264,16 +307,18 @@ ORACLE = {
     "delta_coverage": V.oracle(COMP + f"select t.threshold, count(*) filter (abs(delta_s) <= t.threshold) as n, count(*) filter (abs(delta_s) <= t.threshold) / count(*) as share from comp cross join (select unnest({THRESHOLDS}) as threshold) t group by 1"),
     "delta_ecdf": V.oracle(COMP + ", a as (select abs(delta_s) as abs_delta, count(*) as c from comp group by 1) select abs_delta, cast(sum(c) over (order by abs_delta) as bigint) as n, sum(c) over (order by abs_delta) / (select count(*) from comp) as share from a"),
     "delta_table": V.oracle(COMP + _HIST.format(w=60, m=10) + "select bin, n, n / (select sum(n) from hist) as share, sum(n) over (order by bin) / (select sum(n) from hist) as running from hist"),
-    "delta_outliers": V.oracle(COMP + "select stale_hash, delta_s from comp where abs(delta_s) > 600 order by abs(delta_s) desc, stale_hash limit 50"),
+    "delta_outliers": V.oracle(COMP + "select stale_hash, delta_s from comp where abs(delta_s) > 600 order by abs(delta_s) desc, stale_hash limit 250"),
     "competitions_of_years": V.oracle(COMP + "select stale_slug, count(*) as n, cast(sum(delta_s) as bigint) as delta_sum from comp where coalesce(year(to_timestamp(stale_time)) = 2009, true) group by 1"),
-    "parent_rollup": V.oracle(f"select parent_hash, count(*) as attestations, count(distinct e.source_id) as sources, count(distinct case when source_kind = 'auxpow' then e.source_id end) as chains, bool_or(source_kind = 'live-chaintip') as live, bool_or(pow_ok) as pow, min(discovered_at) as first_seen, max(confirmed_at) as last_seen from event e join source s on s.source_id = e.source_id where {ACTIVE} group by 1"),
+    "parent_rollup": V.oracle(f"select parent_hash, count(*) as attestations, count(distinct e.source_id) as sources, count(distinct case when source_kind = 'auxpow' then s.code end) as chains, bool_or(source_kind = 'live-chaintip') as live, bool_or(pow_ok) as pow, bool_or(epoch_ok) as epoch_ok, min(discovered_at) as first_seen, max(confirmed_at) as last_seen from event e join source s on s.source_id = e.source_id where {ATTESTED} group by 1"),
     "build_proofs": V.oracle("""
 , g as (select parent_hash, source_id, string_agg(cast(event_id as varchar), ',' order by event_id) filter (revoked_at is null) as live_ids, string_agg(cast(event_id as varchar), ',' order by event_id) as all_ids,
-  min(discovered_at) filter (revoked_at is null) as live_first, min(discovered_at) as any_first, max(revoked_at) as last_revoked from event where parent_kind <> 'near' group by 1, 2),
-r as (select parent_hash, source_id, reason, row_number() over (partition by parent_hash, source_id order by revoked_at desc, event_id) as k from event where parent_kind <> 'near' and revoked_at is not null)
-select g.parent_hash, g.source_id, live_ids is not null as live, coalesce(live_ids, all_ids) as ids, coalesce(live_first, any_first) as first_seen, case when live_ids is null then last_revoked end as revoked_at, case when live_ids is null then r.reason end as reason
+  min(discovered_at) as first_seen, min(confirmed_at) filter (revoked_at is null) as live_confirmed, min(confirmed_at) as any_confirmed, bool_or(pow_ok) filter (revoked_at is null) as live_pow, bool_or(pow_ok) as any_pow,
+  max(revoked_at) as last_revoked from event where parent_kind <> 'near' group by 1, 2),
+r as (select parent_hash, source_id, reason, row_number() over (partition by parent_hash, source_id order by revoked_at desc nulls last, event_id) as k from event where parent_kind <> 'near')
+select g.parent_hash, g.source_id, live_ids is not null as live, coalesce(live_ids, all_ids) as ids, first_seen, case when live_ids is not null then live_confirmed else any_confirmed end as confirmed_at,
+  coalesce(case when live_ids is not null then live_pow else any_pow end, false) as pow, case when live_ids is null then last_revoked end as revoked_at, case when live_ids is null then r.reason end as reason
 from g left join r on r.parent_hash = g.parent_hash and r.source_id = g.source_id and r.k = 1"""),
-    "representative": V.oracle(f"select parent_hash, event_id, source_id, child_height from (select *, row_number() over (partition by parent_hash order by child_hash is null, child_height is null, child_height, event_id) as k from event where {ACTIVE}) where k = 1"),
+    "representative": V.oracle(f"select parent_hash, event_id, source_id, child_height from (select *, row_number() over (partition by parent_hash order by coinbase is null, child_height is null, child_height, event_id) as k from event where {ATTESTED}) where k = 1"),
     "source_health": V.oracle(HEALTH.format("a", "") + "select * from health_a"),
     "health_diff": V.oracle(HEALTH.format("a", "") + HEALTH.format("b", "and child_height % 2 = 0") + f"select a.source_id, {_DIFF}, a.last_seen from health_a a full join health_b b on a.source_id = b.source_id"),
     "invalid_unknown": V.oracle(", p as (select parent_hash, bool_or(pow_ok) as met from event where revoked_at is null and parent_kind = 'unknown' group by 1) select count(*) filter (not met) as violations from p where parent_hash not in (select hash from block where kind <> 'unknown')"),
@@ -289,20 +334,30 @@ span as (select source_id, min(week) as a, (select max(week) from n) as z from n
 weeks as (select source_id, unnest(generate_series(a, z, 604800)) as week from span)
 select s.code, w.week, coalesce(n.n, 0) as n from weeks w join source s on s.source_id = w.source_id left join n on n.source_id = w.source_id and n.week = w.week"""),
     "parent_gaps": V.oracle(", d as (select distinct source_id, discovered_at from event where pow_ok and revoked_at is null) select source_id, discovered_at, discovered_at - lag(discovered_at) over (partition by source_id order by discovered_at) as gap_s from d"),
-    "filtered_blocks": V.oracle("select hash, height, orphan_class from block where kind = 'unknown' and (orphan_class = 'strict' or orphan_class is null) and (height between 100 and 5000 or (height is null and time between 1231006505 and 1234006505))"),
+    "filtered_blocks": V.oracle("select hash, height, orphan_class from block where kind = 'unknown' and (orphan_class = 'strict' or orphan_class is null) and (height between 100 and 1073741824 or (height is null and time between 1231006505 and 2147483648))"),
     "sourced_blocks": V.oracle(_SEEN + "select kind, count(*) as n, cast(sum(sources) as bigint) as sources from block b join summary s on s.hash = b.hash where kind = 'canonical' or sources >= 2 group by 1"),
     "event_details": V.oracle("select event_id, code, parent_hash, child_height, p.slug as child_slug from event e join source s on s.source_id = e.source_id left join pool p on p.pool_id = e.child_pool_id where code in ('auxpow:rsk', 'live:tips')"),
     "linked_orphans": V.oracle(", c as (select hash, prev_hash from block where kind = 'unknown' and coalesce(orphan_class, 'pending') <> 'excluded') select * from c where prev_hash in (select hash from c) or hash in (select prev_hash from c)"),
     "direct_parents": V.oracle("select parent_hash, count(*) as events, count(distinct source_id) as sources, max(case when parent_kind = 'unknown' then 1 else 0 end) as unknown from event where revoked_at is null and parent_kind in ('near', 'unknown') and parent_hash not in (select hash from block) group by 1"),
     "removed_events": V.oracle("select source_id, count(*) as n from event where event_id not in (select event_id from event where child_height % 4 <> 0) group by 1"),
     "known_stale": V.oracle("select hash, height from block where kind = 'stale' and hash in (select parent_hash from event where parent_kind = 'stale')"),
-    "height_at_time": V.oracle(", w as (select distinct time + 300 as t from block where kind = 'canonical' and height % 50 = 0), c as (select t, height, hash, row_number() over (partition by t order by time desc, height desc, hash) as k from w left join block on kind = 'canonical' and time <= t and time > t - 5000) select t, height, hash from c where k = 1"),
+    "height_at_time": V.oracle(", w as (select distinct time + 300 as t from block), c as (select time, height, hash from (select *, row_number() over (partition by time order by height desc, hash) as k from block where kind = 'canonical') where k = 1) select w.t, c.height, c.hash from w asof left join c on w.t >= c.time"),
     "epoch_asof": V.oracle(EPOCHS + "select hash, case when time <= 1237006505 then (select max(epoch) from epochs where start_time <= time) end as epoch from block where kind = 'unknown'"),
     "allowed_bits": V.oracle(EPOCHS + "select e.epoch, e.bits, p.bits as bits_before, n.bits as bits_after from epochs e left join epochs p on e.epoch = p.epoch + 2016 left join epochs n on e.epoch = n.epoch - 2016"),
     "window_coverage": V.oracle(WINDOWS + ", s as (select height, count(*) as n from block where kind = 'canonical' group by 1), x as (select window_id, unnest(generate_series(low, high)) as height from win) select window_id, count(*) as wanted, count(n) as covered, cast(coalesce(sum(n), 0) as bigint) as blocks from x left join s on s.height = x.height group by 1"),
     "window_budget": V.oracle(WINDOWS + ", s as (select height, count(*) as n from block where kind in ('stale', 'error_block') group by 1), x as (select window_id, unnest(generate_series(low, high)) as height from win) select window_id, cast(coalesce(sum(n), 0) as bigint) as side_blocks from x left join s on s.height = x.height group by 1"),
     "match_tags": "with t as (select distinct lower(split_part(p_name, ' ', 1)) as tag from part where length(split_part(p_name, ' ', 1)) >= 3), h as (select p_partkey as row_id, tag, row_number() over (partition by p_partkey order by strlen(tag) desc, tag) as k from part left join t on contains(lower(p_name), tag)) select row_id, tag from h where k = 1",
-    "compact_seed": V.oracle(f"select distinct hash, kind, height from block where (kind = 'canonical' and height in (0, 100, 1000)) or (kind in ('stale', 'error_block') and height between 200 and 900) or (kind = 'canonical' and height between 200 and 900 and hash in (select parent_hash from event where {ACTIVE}))"),
+    "compact_seed": V.oracle(f"select distinct hash, kind, height from block where (kind = 'canonical' and height in (0, 100, 1000)) or (kind in ('stale', 'error_block') and height between 200 and 1073741824) or (kind = 'canonical' and height between 200 and 1073741824 and hash in (select parent_hash from event where {ACTIVE}))"),
     "with_context": V.oracle("select hash, kind, height from block where hash in (select hash from block where kind = 'stale' union select competitor_hash from block where kind = 'stale' union select prev_hash from block where kind = 'stale')"),
     "unlinked_dependents": V.oracle("select hash, kind from block where prev_hash not in (select hash from block)"),
+    "nearest_canonical": V.oracle(", w as (select distinct time as t from block where kind = 'unknown'), c as (select time, min(height) as height from block where kind = 'canonical' and height % 97 <> 13 group by 1), lo as (select w.t, c.time, c.height from w asof left join c on w.t >= c.time), hi as (select w.t, c.time, c.height from w asof left join c on w.t < c.time), e as (select t, abs(time - t) as off, height from lo where time is not null union all select t, abs(time - t), height from hi where time is not null), k as (select *, row_number() over (partition by t order by off, height) as k from e) select w.t, k.height, k.off from w left join k on k.t = w.t and k.k = 1"),
+    "published_stale": V.oracle(PROVENANCE + "select event_id, parent_hash from event where revoked_at is null and event_id in (select event_id from prov where relevance_reason in ('valid_direct_stale', 'valid_stale_descendant'))"),
+    "stale_targets": V.oracle(PROVENANCE + "select distinct e.parent_hash as hash from event e join prov p on p.event_id = e.event_id left join block b on b.hash = e.parent_hash where e.revoked_at is null and p.relevance_reason in ('valid_direct_stale', 'valid_stale_descendant') and (b.kind is null or b.kind = 'unknown')"),
+    "sources_base": V.oracle(", c as (select source_id, max(child_height) as cursor, max(child_height) + min(child_height) as target, max(confirmed_at) as updated_at from event where source_id <= 4 group by 1), b as (select 6 as source_id, max(height) - 1 as contiguous, max(height) as tip from block where kind = 'canonical') select s.*, c.cursor, c.target, c.updated_at, b.contiguous, b.tip, cast(null as varchar) as error from source s left join c on c.source_id = s.source_id left join b on b.source_id = s.source_id"),
+    "attribute_parent": """
+with s as (select s_suppkey as row_id, s_nationkey as n from supplier),
+p as (select 'slug-' || n as slug, min(row_id) as pool_id from s where n % 3 <> 0 group by 1),
+j as (select row_id, case when row_id % 2 = 0 then 'slug-' || n end as tag_slug, case when row_id % 3 <> 0 then 'slug-' || ((n + 1) % 25) end as payout_slug from s)
+select row_id, case when tag_slug is not null then 'tag' when payout_slug is not null then 'payout' end as basis, coalesce(tag_slug, payout_slug) as slug, p.pool_id from j left join p on p.slug = coalesce(tag_slug, payout_slug)""",
 }
+ORACLE["match_tags_fast"] = ORACLE["match_tags"]

@@ -8,7 +8,7 @@ from pegtrail.operators import classify as K
 from pegtrail.operators import merge as M
 from pegtrail.operators import rollups as R
 from pegtrail.plans import chain_view as V
-from pegtrail.plans.core import ACTIVE, EPOCHS, _epochs
+from pegtrail.plans.core import ACTIVE, ATTESTED, EPOCHS, _epochs
 
 
 def _parents(spark, sf):
@@ -53,10 +53,18 @@ def apply_classification(spark, sf):
     return e.groupBy("source_id", "parent_kind").agg(F.count("*").alias("n"))
 
 
+#: Epochs are moved up by so many heights, so that scripts of the view's heights are above the activation height.
+MOVED = 113 * 2016
+
+
 def orphan_verdict(spark, sf):
+    """A third of the unknown blocks claim a height of their time's epoch, a third one of other epochs, a third none."""
     b = V.blocks(spark, sf)
-    o = b.where("kind = 'unknown'").select("hash", F.when(F.col("height") % 3 == 0, F.col("height")).otherwise(F.col("height") + 230_000).alias("height"), "time", (F.lit(486604799) - F.coalesce(F.length("orphan_class"), F.lit(0)) % 3).alias("bits"))
-    return K.orphan_verdict(o, _epochs(b), 240_000, V.GENESIS_TIME + 7_000_000)
+    third = F.col("time") % 3
+    height = F.when(third == 0, F.floor((F.col("time") - V.GENESIS_TIME) / 600) + MOVED).when(third == 1, F.col("height") * 5 + MOVED)
+    bits = F.lit(486604799) - F.coalesce(F.length("orphan_class"), F.lit(0)) * 5
+    o = b.where("kind = 'unknown'").select("hash", height.alias("height"), "time", bits.alias("bits"))
+    return K.orphan_verdict(o, _epochs(b).withColumn("epoch", F.col("epoch") + MOVED), MOVED + 14_000, V.GENESIS_TIME + 7_000_000)
 
 
 def classify_nbits(spark, sf):
@@ -117,20 +125,41 @@ def import_decision(spark, sf):
 
 
 def source_sync(spark, sf):
-    h = R.source_health(V.events(spark, sf), V.blocks(spark, sf), V.sources(spark))
+    """Cursors from the events of each source, so that every state of either path is there."""
+    h = R.source_health(V.events(spark, sf), V.blocks(spark, sf), V.sources(spark)).join(V.sources(spark).select("source_id", "source_kind"), "source_id")
+    i = F.col("source_id")
     rows = h.select(
-        "code", F.when(F.col("source_id") == 1, "historical").otherwise("live").alias("lifecycle"), F.col("events").alias("cursor"), (F.col("events") + (F.col("source_id") == 2).cast("int")).alias("tip"), F.when(F.col("source_id") == 3, "x").alias("error"), "last_seen",
-        F.when(F.col("source_id") == 4, F.col("last_seen") + 10_000_000).otherwise(F.col("last_seen")).alias("now"),
+        "code", F.when(i == 1, "historical").otherwise("live").alias("lifecycle"), "source_kind", F.when(i != 5, F.col("events")).alias("cursor"), (F.col("events") + i.isin(2, 4).cast("int")).alias("tip"),
+        F.when(i.isin(3, 6), "x").alias("error"), F.col("last_seen").alias("updated_at"), (F.col("last_seen") + F.when(i == 4, 10_000).otherwise(60)).alias("now"),
     )
     return K.source_sync(rows).select("code", "state")
 
 
 def publication_category(spark, sf):
+    """Rows of every class, with reasons and states by the block's time."""
+    t = F.col("time")
+    kind = F.col("kind")
     rows = V.blocks(spark, sf).select(
-        "hash", F.when(F.col("kind") == "unknown", "orphan").otherwise(F.col("kind")).alias("classification"), F.when(F.col("kind") == "unknown", F.col("orphan_class")).alias("relevance"),
-        F.when(F.col("time") % 10 == 0, "INVALID").when(F.col("time") % 10 == 1, "VALID (late)").otherwise("VALID").alias("status"),
+        "hash", F.when(kind == "error_block", F.when(t % 2 == 0, "near").otherwise("other")).when((kind == "stale") & (t % 5 == 0), "stale_descendant").otherwise(kind).alias("classification"),
+        F.when((kind == "canonical") & (t % 10 == 0), "x").when(kind == "unknown", F.when(F.col("orphan_class").isin("strict", "weak"), F.concat("orphan_class", F.lit("_btc_orphan")))).alias("relevance"),
+        F.when(kind == "stale", F.when(t % 5 == 0, "valid_stale_descendant").when(t % 3 != 1, "valid_direct_stale")).when(t % 11 == 0, "valid_direct_stale").alias("relevance_reason"),
+        F.when(t % 4 == 0, "INVALID").when(t % 4 == 1, "VALID (late)").when(t % 4 == 2, "VALID_STALE_DESCENDANT").otherwise("VALID").alias("status"),
     )
-    return K.publication_category(rows).groupBy("category").agg(F.count("*").alias("n"))
+    return K.publication_category(rows).select("hash", "category", "skip_reason")
+
+
+def filter_unknown(spark, sf):
+    """Unknown blocks whose class is the verdict, published under one by their time."""
+    t = F.col("time") % 5
+    rows = V.blocks(spark, sf).where("kind = 'unknown'").select("hash", F.coalesce("orphan_class", F.lit("pending")).alias("verdict"), F.when(t == 0, "stale").when(t == 1, "strict_btc_orphan").when(t == 2, "weak_btc_orphan").when(t == 3, "stale_descendant").alias("selection"))
+    return K.filter_unknown(rows)
+
+
+def fill_child_coinbase(spark, sf):
+    """Scripts recovered for two thirds of the events, a quarter of which have one already."""
+    e = V.events(spark, sf).select("event_id", "child_height", F.when(F.col("child_height") % 4 == 0, "own").alias("coinbase_txid"), F.col("coinbase").alias("coinbase_script"), F.when(F.col("child_height") % 7 == 0, "out").alias("coinbase_outputs"))
+    late = e.where("child_height % 3 <> 0").select("event_id", F.lit("t").alias("coinbase_txid"), F.lit("s").alias("coinbase_script"), F.lit("o").alias("coinbase_outputs"))
+    return M.fill_child_coinbase(e, late).groupBy("coinbase_txid", F.col("coinbase_script").isNull().alias("no_script"), "coinbase_outputs", "filled").agg(F.count("*").alias("n"))
 
 
 def _halves(spark, sf):
@@ -187,9 +216,11 @@ def supersede(spark, sf):
 
 
 def repair_candidates(spark, sf):
+    """Blocks as built, of which one in nine is missing and one in seventeen counts one attestation too many."""
     core = V.blocks(spark, sf).where("core_attested").select("hash")
     built = K.build_blocks(V.events(spark, sf), V.sources(spark), _verdict(spark, sf), core)
-    stored = built.where("crc32(hash) % 9 <> 0").withColumn("total_attestations", F.col("total_attestations") + (F.crc32("hash") % 17 == 0).cast("int"))
+    number = F.conv(F.substring("hash", 1, 6), 16, 10).cast("long")
+    stored = built.where(number % 9 != 0).withColumn("total_attestations", F.col("total_attestations") + (number % 17 == 0).cast("int"))
     return M.repair_candidates(V.events(spark, sf), stored, V.sources(spark))
 
 
@@ -212,12 +243,12 @@ QUERIES = {
     f.__name__: f
     for f in (
         classify_parents, effective, apply_classification, orphan_verdict, classify_nbits, strict_height, orphan_class, build_blocks, block_miner, demote_inactive, known_stale_demotion, reclassify_unknown, horizon_gate,
-        import_decision, source_sync, publication_category, merge_events, fill_event, merge_attributions, prune_attributions, merge_blocks, reconcile_snapshot, revoke_restore, supersede, repair_candidates, diff_pools,
+        import_decision, source_sync, publication_category, filter_unknown, fill_child_coinbase, merge_events, fill_event, merge_attributions, prune_attributions, merge_blocks, reconcile_snapshot, revoke_restore, supersede, repair_candidates, diff_pools,
         check_inventory, import_summary,
     )
 }
 
-_ROLL = f", roll as (select parent_hash as hash, count(*) as n, count(distinct e.source_id) as s, count(distinct case when source_kind = 'auxpow' then e.source_id end) as c, bool_or(source_kind = 'live-chaintip') as l, min(discovered_at) as a, max(confirmed_at) as z from event e join source s on s.source_id = e.source_id where {ACTIVE} group by 1)"
+_ROLL = f", roll as (select parent_hash as hash, count(*) as n, count(distinct e.source_id) as s, count(distinct case when source_kind = 'auxpow' then e.source_id end) as c, bool_or(source_kind = 'live-chaintip') as l, min(discovered_at) as a, max(confirmed_at) as z from event e join source s on s.source_id = e.source_id where {ATTESTED} group by 1)"
 
 ORACLE = {
     "classify_parents": V.oracle(PAR + "select * from verdict"),
@@ -228,12 +259,13 @@ k as (select v.*, o.kind as ok, o.height as oh, o.competitor_hash as oc, coalesc
 select hash, case when kept then ok else kind end as kind, case when kept then oh else height end as height, case when kept then oc else competitor_hash end as competitor_hash, kept from k"""),
     "apply_classification": V.oracle(PAR + "select source_id, case when revoked_at is null and parent_kind <> 'near' and v.kind is not null and (v.kind <> 'unknown' or parent_kind in ('unknown', 'error_block')) then v.kind else parent_kind end as parent_kind, count(*) as n from event e left join verdict v on v.hash = e.parent_hash group by 1, 2"),
     "orphan_verdict": V.oracle(EPOCHS + """
-, og as (select hash, case when height % 3 = 0 then height else height + 230000 end as height, time, 486604799 - coalesce(length(orphan_class), 0) % 3 as bits from block where kind = 'unknown'),
-p as (select og.*, case when time <= 1238006505 then (select max(epoch) from epochs where start_time <= time) end as epoch from og),
-q as (select p.*, e.bits as eb, b.bits as bb, n.bits as nb from p left join epochs e on e.epoch = p.epoch left join epochs b on b.epoch = p.epoch - 2016 left join epochs n on n.epoch = p.epoch + 2016),
-r as (select *, coalesce(height >= 227931, false) as has from q),
-x as (select hash, case when height > 240000 then 'pending:above_height' when time > 1238006505 then 'pending:above_time' when epoch is null then 'excluded:before_table' when has and height // 2016 * 2016 = epoch and bits = eb then 'strict:height_and_bits'
-  when has and height // 2016 * 2016 <> epoch then 'excluded:wrong_epoch' when has then 'excluded:wrong_bits' when coalesce(bits = eb, false) or coalesce(bits = bb, false) or coalesce(bits = nb, false) then 'weak:nearby_bits' else 'excluded:foreign_bits' end as v from r)
+, ep as (select epoch + 227808 as epoch, start_time, bits from epochs),
+og as (select hash, case time % 3 when 0 then cast(floor((time - 1231006505) / 600) as bigint) + 227808 when 1 then height * 5 + 227808 end as height, time, 486604799 - coalesce(length(orphan_class), 0) * 5 as bits from block where kind = 'unknown'),
+p as (select og.*, case when time <= 1238006505 then (select arg_max(epoch, start_time) from ep where start_time <= time) end as epoch from og),
+q as (select p.*, e.bits as eb, b.bits as bb, n.bits as nb from p left join ep e on e.epoch = p.epoch left join ep b on b.epoch = p.epoch - 2016 left join ep n on n.epoch = p.epoch + 2016),
+r as (select *, coalesce(height >= 227931, false) as has, coalesce(height >= 227931 and height // 2016 * 2016 = epoch, false) as agrees from q),
+x as (select hash, case when has and height > 241808 then 'pending:above_height' when time > 1238006505 then 'pending:above_time' when agrees and coalesce(bits = eb, false) then 'strict:height_and_bits' when agrees then 'excluded:wrong_bits'
+  when epoch is null then 'excluded:before_table' when coalesce(bits = eb, false) or coalesce(bits = bb, false) or coalesce(bits = nb, false) then 'weak:nearby_bits' else 'excluded:foreign_bits' end as v from r)
 select hash, split_part(v, ':', 1) as verdict, split_part(v, ':', 2) as reason from x"""),
     "classify_nbits": V.oracle(EPOCHS + ", s as (select hash, height, 486604799 - pool_id % 5 as bits, height // 2016 * 2016 as own from block where kind = 'stale') select s.hash, s.height, s.bits, case when own < (select min(epoch) from epochs) then 'below' when e.bits is null then 'above' when e.bits = s.bits then 'valid' else 'contaminant' end as nbits from s left join epochs e on e.epoch = s.own"),
     "strict_height": V.oracle(f", x as (select e.*, parent_height + 227000 + child_height % 2 as sh from event e join source s on s.source_id = e.source_id where s.code in ('auxpow:namecoin', 'auxpow:fractal', 'auxpow:elastos') and {ACTIVE}), k as (select parent_hash, sh, row_number() over (partition by parent_hash order by event_id) as k from x where sh >= 227931) select parent_hash, sh as strict_height from k where k = 1"),
@@ -252,8 +284,24 @@ from j left join verdict v on v.hash = j.hash"""),
 , p as (select hash, case when kind = 'unknown' then 'stale' else kind end as published, time % 2 = 0 as absent from block)
 select p.hash, case when published = 'error_block' or v.kind = 'error_block' then 'refuse' when v.kind = 'near' then 'near' when published = 'canonical' and v.kind = 'stale' then 'stale' when published = v.kind then 'accept' when v.kind = 'unknown' and absent and published in ('stale', 'stale_descendant') then 'accept_absent'
   when v.kind = 'unknown' and not absent then 'defer' else 'mismatch' end as decision from p join verdict v on v.hash = p.hash"""),
-    "source_sync": V.oracle("select code, case when s.source_id = 1 then 'historical' when s.source_id = 3 then 'error' when s.source_id = 2 then 'catching_up' when s.source_id = 4 then 'stale' else 'live' end as state from source s join (select distinct source_id from event) e on e.source_id = s.source_id"),
-    "publication_category": V.oracle("select case when time % 10 = 0 then 'invalid' when kind = 'canonical' then 'canonical' when kind = 'stale' then 'stale' when kind = 'unknown' and orphan_class is not null then orphan_class || '_orphan' else 'mismatch' end as category, count(*) as n from block group by 1"),
+    "source_sync": V.oracle("select code, case s.source_id when 1 then 'historical' when 2 then 'catching_up' when 3 then 'live' when 4 then 'stale' when 5 then 'not_started' else 'error' end as state from source s join (select distinct source_id from event) e on e.source_id = s.source_id"),
+    "publication_category": V.oracle("""
+, rw as (select hash, case when kind = 'error_block' then case when time % 2 = 0 then 'near' else 'other' end when kind = 'stale' and time % 5 = 0 then 'stale_descendant' else kind end as c,
+  coalesce(case when kind = 'canonical' and time % 10 = 0 then 'x' when kind = 'unknown' and orphan_class in ('strict', 'weak') then orphan_class || '_btc_orphan' end, '') as r,
+  coalesce(case when kind = 'stale' then case when time % 5 = 0 then 'valid_stale_descendant' when time % 3 <> 1 then 'valid_direct_stale' end when time % 11 = 0 then 'valid_direct_stale' end, '') as why, time % 4 as st from block),
+g as (select hash, st, case when why = 'valid_direct_stale' then case when c in ('stale', 'unknown') and r = '' then 'stale' else '-taxonomy_mismatch' end
+  when why = 'valid_stale_descendant' then case when c in ('stale_descendant', 'unknown') and r = '' then 'stale_descendant' else '-taxonomy_mismatch' end
+  when c = 'canonical' and r = '' then 'canonical' when c = 'unknown' and r <> '' then r when c = 'near' then '-near' when c = 'other' then '-unsupported_classification' else '-taxonomy_mismatch' end as v from rw),
+f as (select hash, case when v = 'stale' and st not in (1, 3) or v = 'stale_descendant' and st <> 2 then '-taxonomy_mismatch' else v end as v from g)
+select hash, case when v[1] <> '-' then v end as category, case when v[1] = '-' then v[2:] end as skip_reason from f"""),
+    "filter_unknown": V.oracle("""
+, u as (select hash, coalesce(orphan_class, 'pending') as verdict, case time % 5 when 0 then 'stale' when 1 then 'strict_btc_orphan' when 2 then 'weak_btc_orphan' when 3 then 'stale_descendant' end as selection from block where kind = 'unknown')
+select *, case when selection in ('stale', 'stale_descendant') then null when verdict = 'excluded' then 'orphan_excluded' when verdict = 'pending' then 'orphan_pending' when selection = 'strict_btc_orphan' or selection = verdict || '_btc_orphan' then null
+  when selection = 'weak_btc_orphan' then 'taxonomy_mismatch' else 'orphan_not_selected' end as skip_reason from u"""),
+    "fill_child_coinbase": V.oracle("""
+, e as (select child_height % 3 <> 0 as late, case when child_height % 4 = 0 then 'own' end as t, coinbase as s, case when child_height % 7 = 0 then 'out' end as o from event),
+f as (select coalesce(t, case when late then 't' end) as coinbase_txid, coalesce(s, case when late then 's' end) is null as no_script, coalesce(o, case when late then 'o' end) as coinbase_outputs, late and (t is null or s is null or o is null) as filled from e)
+select *, count(*) as n from f group by all"""),
     "merge_events": V.oracle(HALVES + """
 , x as (select source_id, child_hash, min(event_id) as xid, arg_min(parent_hash, event_id) as xp from e0 where child_hash is not null group by 1, 2),
 q as (select source_id, child_height, parent_hash, min(event_id) filter (child_hash is null) as oid, count(*) filter (child_hash is null) as no, min(event_id) filter (child_hash is not null) as fid, count(*) filter (child_hash is not null) as nf from e0 group by 1, 2, 3),
@@ -274,6 +322,11 @@ select coalesce(a.hash, b.hash) as hash, case when b.hash is not null then 'cano
     "reconcile_snapshot": V.oracle("select source_id, case when child_height % 4 = 0 and source_id <= 2 and child_height % 10 <> 0 then 'remove' when source_id = 3 then 'unexpected' else 'keep' end as action, count(*) as n from event group by 1, 2"),
     "revoke_restore": V.oracle(", x as (select source_id, case when child_height % 12 = 0 then null when revoked_at is not null then reason when child_height % 6 = 0 then 'manual' end as reason, case when child_height % 12 = 0 then null when revoked_at is not null then revoked_at when child_height % 6 = 0 then 5 end as r from event) select source_id, reason, count(*) as n, count(r) as revoked from x group by 1, 2"),
     "supersede": V.oracle(", x as (select event_id, child_hash, first_value(child_hash) over (partition by source_id, child_height order by confirmed_at desc, event_id desc, child_hash desc) as l from event where child_hash is not null and revoked_at is null) select event_id, child_hash <> l as superseded from x"),
+    "repair_candidates": V.oracle(_ROLL.lstrip() + """
+, cr as (select hash from block where core_attested),
+j as (select coalesce(r.hash, cr.hash) as hash, r.hash is not null as seen, cr.hash is not null as core from roll r full join cr on cr.hash = r.hash),
+k as (select *, cast('0x' || substr(hash, 1, 6) as bigint) as number from j)
+select hash, case when number % 9 = 0 then 'no_block' else 'counters' end as problem from k where (number % 9 = 0 and seen) or (number % 9 <> 0 and number % 17 = 0)"""),
     "diff_pools": "with a as (select s_name as slug, cast(s_nationkey as varchar) as name from supplier where s_suppkey % 5 <> 0), b as (select s_name as slug, case when s_suppkey % 11 = 0 then 'x' else cast(s_nationkey as varchar) end as name from supplier where s_suppkey % 7 <> 0), j as (select coalesce(a.slug, b.slug) as slug, case when a.slug is null then 'added' when b.slug is null then 'removed' when a.name <> b.name then 'changed' end as change from a full join b on a.slug = b.slug) select * from j where change is not null",
     "check_inventory": "with h as (select p_name as item, count(*) as n from part group by 1), w as (select p_name as item, count(*) as n from part where p_partkey % 2 = 0 group by 1) select h.item, 'unexpected' as problem, h.n - coalesce(w.n, 0) as n from h left join w on w.item = h.item where h.n > coalesce(w.n, 0)",
     "import_summary": V.oracle("select * from (select 'disposition' as measure, case when revoked_at is null then 'inserted' else 'updated' end as value, count(*) as n from event group by 2 union all select 'classification', parent_kind, count(*) from event group by 2 union all select 'skip_reason', 'no_child_hash', count(*) from event where child_hash is null) where n > 0"),

@@ -76,5 +76,9 @@ select hash, display, prev_hash as prev, time, bits, height as nonce, target, di
 j as (select a.height, a.hash, b.hash as h1, d.hash as h2 from c a join c b on b.height = a.height - 1 join c d on d.height = a.height - 2),
 f as (select height, h2, {_DSHA.format("unhex(case when height % 2 = 1 then h1 || hash else hash || h1 end)")} as x from j)
 select height, {_DSHA.format("unhex(case when height % 4 >= 2 then h2 || x else x || h2 end)")} as root from f"""),
+    "source_states": V.oracle("""
+, h as (select s.code, max(e.confirmed_at) as last_seen from source s left join event e on e.source_id = s.source_id and e.revoked_at is null group by 1)
+select code, case when last_seen is null then 'not_started' when (select max(last_seen) from h) - last_seen <= 86400 then 'fresh' else 'stale' end as status, last_seen // 86400 * 86400 as day,
+  case when year(to_timestamp(last_seen)) between 2009 and 2100 then year(to_timestamp(last_seen)) end as year, case code when 'auxpow:rsk' then 'rsk' when 'auxpow:hathor' then 'hathor' when 'live:tips' then null else 'namecoin' end as family from h"""),
     "coinbase_scripts": "select p_partkey, p_partkey + 227931 as height, sha256(cast(p_partkey as varchar)) as root, 8 as size, p_partkey as nonce, true as tag_ends from part",
 }

@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pegtrail.operators import competitions as C
-from pegtrail.operators import graph, joins, merge, spine
+from pegtrail.operators import classify, graph, joins, merge, rollups, spine
 from pegtrail.sources import readers, validation
 from pegtrail.streaming import streams
 
@@ -140,3 +140,52 @@ def test_cascade_and_infer_stale_follow_long_chains(spark):
     block = spark.createDataFrame([*chain, ("s0", "x", "stale", 0, None, 7), *side], block.schema)
     got = {(r["hash"], r["height"], r["competitor_hash"]) for r in graph.infer_stale(block).collect()}
     assert got == {(f"u{i}", i, f"c{i}") for i in range(1, 55)}
+
+
+def test_histogram_widths():
+    assert C.step_width(10_000_000, 1) == 86400 and C.step_width(600, 30) == 30 and 2 * 2**31 / C.step_width(2**31) + 1 <= C.MOST_BINS
+
+
+def test_orphan_verdicts_fall_through(spark):
+    epochs = spark.createDataFrame([(227808, 1000, 5), (229824, 2000, 6)], "epoch long, start_time long, bits long")
+    rows = [("strict", 227932, 1500, 5), ("bits", 227932, 1500, 9), ("other_epoch", 229825, 1500, 6), ("far", 400000, 1500, 5), ("late", None, 9000, 5), ("early", 227932, 500, 5), ("low", 100, 1500, 5), ("foreign", None, 1500, 9)]
+    o = spark.createDataFrame(rows, "hash string, height long, time long, bits long")
+    got = {r["hash"]: r["verdict"] for r in classify.orphan_verdict(o, epochs, 240_000, 3000).collect()}
+    assert got == {"strict": "strict", "bits": "excluded", "other_epoch": "weak", "far": "pending", "late": "pending", "early": "excluded", "low": "weak", "foreign": "excluded"}
+
+
+def test_no_tip_holds_every_row(spark):
+    rows = spark.createDataFrame([("a", 5), ("b", 900)], "hash string, height long")
+    tip = spark.createDataFrame([], "tip_height long, tip_time long")
+    assert {r["gate"] for r in classify.horizon_gate(rows, tip, 10).collect()} == {"hold"}
+    one = spark.createDataFrame([(10, 0)], "tip_height long, tip_time long")
+    assert [r["gate"] for r in classify.horizon_gate(rows, one, 10).orderBy("hash").collect()] == ["resolve", "far_future"]
+
+
+def test_proofs_and_rollups(spark):
+    schema = "event_id long, source_id long, parent_hash string, parent_kind string, pow_ok boolean, epoch_ok boolean, discovered_at long, confirmed_at long, revoked_at long, reason string"
+    e = spark.createDataFrame([(3, 1, "p", "stale", False, None, 5, 9, None, None), (1, 1, "p", "stale", True, True, 2, 3, 7, "x"), (2, 2, "p", "stale", True, None, 4, 4, 8, "b"), (4, 2, "p", "stale", False, None, 6, 6, 8, "c"), (5, 1, "q", "near", True, None, 1, 1, None, None)], schema)
+    source = spark.createDataFrame([(1, "auxpow:a", "auxpow"), (2, "live:t", "live-chaintip")], "source_id long, code string, source_kind string")
+    r = rollups.parent_rollup(e, source).collect()
+    assert [(x["parent_hash"], x["attestations"], x["sources"], x["chains"], x["live"], x["pow"], x["epoch_ok"]) for x in r] == [("p", 1, 1, 1, False, False, None)]
+    got = {x["source_id"]: (x["live"], list(x["ids"]), x["first_seen"], x["confirmed_at"], x["pow"], x["revoked_at"], x["reason"]) for x in rollups.build_proofs(e).collect()}
+    assert got == {1: (True, [3], 2, 9, False, None, None), 2: (False, [2, 4], 4, 4, True, 8, "b")}
+
+
+def test_reduced_trees(spark):
+    line = [(1, i, f"c{i:02}", f"c{i - 1:02}", "canonical", i != 5) for i in range(20)]
+    nodes = spark.createDataFrame([*line, (1, 12, "x", "c11", "stale", False)], "window_id long, height long, hash string, prev_hash string, kind string, removable boolean")
+    left = {r["hash"] for r in spine.reduce_nodes(nodes, 12).collect()}
+    assert left == {"c00", "c05", "c12", "x", *(f"c{i}" for i in range(13, 20))}  # the stale node at 12 ends the first run
+    assert {r["too_large"] for r in spine.reduce_nodes(nodes, 3).collect()} == {True}
+
+
+def test_sync_states(spark):
+    rows = [("a", "historical", "auxpow", 1, 2, None, 0, 10), ("b", "live", "auxpow", 1, 9, None, 0, 4000), ("c", "live", "auxpow", 1, 9, "x", 0, 10), ("d", "live", "live-chaintip", 1, 9, "x", 0, 4000), ("e", "live", "live-chaintip", -1, 9, None, 0, 10), ("f", "live", "live-chaintip", 9, 9, None, 0, 10), ("g", "live", "other", 9, 9, None, 0, 10)]
+    df = spark.createDataFrame(rows, "code string, lifecycle string, source_kind string, cursor long, tip long, error string, updated_at long, now long")
+    assert {r["code"]: r["state"] for r in classify.source_sync(df).collect()} == {"a": "historical", "b": "stale", "c": "catching_up", "d": "error", "e": "not_started", "f": "live", "g": "unknown"}
+
+
+def test_cycles_end_a_cascade(spark):
+    block = spark.createDataFrame([("a", "c", None), ("b", "a", None), ("c", "b", None), ("d", "zz", "b")], "hash string, prev_hash string, competitor_hash string")
+    assert {r["hash"]: r["round"] for r in graph.cascade(block.where("hash = 'a'").select("hash"), block).collect()} == {"a": 0, "b": 1, "c": 2, "d": 2}
