@@ -5,10 +5,11 @@ within both prefixes under every order of all tokens; here the orders put rare t
 of its own. The tables have a fixed size (tokens that share a cell share a count), so they can be broadcast whatever
 the corpus; any counts give a valid order, better ones only fewer candidates.
 
-Candidates come from the first order's prefixes. A token's rows are not paired with each other: each goes to the
-token's pivot, the row with the fewest rarer tokens before it. Verified links give components; then pairs that share a
-token and are still in different components are made, so none that could link two components is left out. Before the
-sets of any candidate pair are compared, its prefixes under all other orders must meet as well.
+Pairs are made of the first order's prefixes. A token's rows are not paired with each other: each goes to the token's
+pivot, the row with the fewest rarer tokens before it. Verified links give components; then pairs that share a token and
+are still in different components are made, so none that could link two components is left out. Of either kind of pairs
+those remain whose prefixes meet under every other order too; only these are candidates, whose texts are read and whose
+sets are compared.
 
 Positions prune further: if a shared token is the rarest shared one, the i tokens before it in one set and the j in
 the other are not shared, so the overlap is at most min(n - i, m - j).
@@ -33,10 +34,12 @@ from pegtrail.llm.wordhash import Windows, Words, mix, text_bytes
 
 #: Cells of each order's table of counts, and cells in a block of it; together they bound what is broadcast (8 MB an order).
 CELLS, BLOCK = 1 << 21, 1 << 14
-ORDERS = 2
+ORDERS = 3
+#: Groups that the tasks' tables are summed in before all are summed.
+SUMMED = 64
 #: Up to so many nodes the verification broadcasts their keys (8 bytes each) to pick their texts; beyond it, it joins.
 BROADCAST_NODES = 500_000
-_SALT = np.array([0, 0x5851F42D4C957F2D], np.uint64)
+_SALT = np.array([0, 0x5851F42D4C957F2D, 0x14057B7EF767814F], np.uint64)
 
 
 def shingle_sets(column: pa.Array, n: int) -> list[np.ndarray]:
@@ -94,18 +97,18 @@ def measure(texts: DataFrame, n: int) -> DataFrame:
 
 
 def sum_blocks(measured: DataFrame) -> np.ndarray:
-    """The orders' tables, summed over all tasks; their size is fixed."""
+    """The orders' tables, summed over all tasks in two levels, so that no group grows with all tasks; their size is fixed."""
 
     def add(table: pa.Table) -> pa.Table:
         total = np.zeros(BLOCK, np.int64)
         for packed in table.column("counts").to_pylist():
             total += np.frombuffer(zlib.decompress(packed), np.int32)
-        return pa.table({"block": table.column("block")[:1], "counts": pa.array([np.minimum(total, 2**31 - 1).astype(np.int32).tobytes()], pa.binary())})
+        return pa.table({"block": table.column("block")[:1], "counts": pa.array([zlib.compress(np.minimum(total, 2**31 - 1).astype(np.int32).tobytes(), 1)], pa.binary())})
 
     tables = np.zeros((ORDERS * CELLS // BLOCK, BLOCK), np.int32)
-    parts = measured.where("block is not null").select("block", "counts").groupBy("block").applyInArrow(add, "block int, counts binary")
-    for row in parts.collect():
-        tables[row["block"]] = np.frombuffer(row["counts"], np.int32)
+    first = measured.where("block is not null").select("block", "counts").groupBy("block", F.pmod(F.spark_partition_id(), F.lit(SUMMED)).alias("part")).applyInArrow(add, "block int, counts binary")
+    for row in first.groupBy("block").applyInArrow(add, "block int, counts binary").collect():
+        tables[row["block"]] = np.frombuffer(zlib.decompress(row["counts"]), np.int32)
     return tables.reshape(ORDERS, CELLS)
 
 
@@ -138,19 +141,43 @@ def may_link(percent: int, n: str, i: str, m: str, j: str):
     return F.expr(f"{100 + percent} * (cast({n} as long) - {i}) >= {need} and {100 + percent} * (cast({m} as long) - {j}) >= {need} and 100 * {n} >= {percent} * {m} and 100 * {m} >= {percent} * {n}")
 
 
+def other_prefixes(texts: DataFrame, tables, n: int, percent: int) -> DataFrame:
+    """(node, p1, p2, ...): each text's prefixes under the orders after the first."""
+    orders = range(1, ORDERS)
+
+    def make():
+        def step(part: pa.RecordBatch) -> dict:
+            sets = shingle_sets(part.column(1), n)
+            return {"node": part.column(0)} | {f"p{o}": pa.array([ordered(x, tables.value[o], o, percent).view(np.int64) for x in sets], pa.list_(pa.int64())) for o in orders}
+
+        return step
+
+    return map_slices(texts, ["node", "text"], "text", "node long, " + ", ".join(f"p{o} array<bigint>" for o in orders), make)
+
+
 def verify(pairs: DataFrame, texts: DataFrame, tables, n: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets are similar, of those that share prefix tokens under every further order too."""
-    nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct().checkpoint()
-    few = nodes.limit(BROADCAST_NODES + 1).count() <= BROADCAST_NODES
-    own = texts.select("node", "text").join(F.broadcast(nodes) if few else nodes, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text"))
-    both = pairs.join(own.withColumnRenamed("node", "a").withColumnRenamed("text", "text_a"), "a").join(own.withColumnRenamed("node", "b").withColumnRenamed("text", "text_b"), "b")
+    """The pairs (a, b) whose sets are similar: of those that share prefix tokens under every further order too, texts are compared."""
+
+    def own(pairs: DataFrame) -> DataFrame:
+        nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct().checkpoint()
+        few = nodes.limit(BROADCAST_NODES + 1).count() <= BROADCAST_NODES
+        return texts.select("node", "text").join(F.broadcast(nodes) if few else nodes, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text"))
+
+    held = own(pairs)
+    prefix = other_prefixes(held, tables, n, percent)
+    names = [c for c in prefix.columns if c != "node"]
+    side = lambda c: prefix.select(F.col("node").alias(c), *[F.col(p).alias(p + c) for p in names])
+    meet = F.lit(True)
+    for p in names:
+        meet = meet & F.arrays_overlap(p + "a", p + "b")
+    near = pairs.join(side("a"), "a").join(side("b"), "b").where(meet).select("a", "b").checkpoint()
+    texts_of = own(near)
+    both = near.join(texts_of.withColumnRenamed("node", "a").withColumnRenamed("text", "text_a"), "a").join(texts_of.withColumnRenamed("node", "b").withColumnRenamed("text", "text_b"), "b")
 
     def make():
         def step(part: pa.RecordBatch) -> dict:
             keep = []
             for i, (x, y) in enumerate(zip(shingle_sets(part.column(2), n), shingle_sets(part.column(3), n))):
-                if any(not len(np.intersect1d(ordered(x, tables.value[o], o, percent), ordered(y, tables.value[o], o, percent), True)) for o in range(1, ORDERS)):
-                    continue
                 shared = len(np.intersect1d(x, y, True))
                 if 100 * shared >= percent * (len(x) + len(y) - shared):
                     keep.append(i)
