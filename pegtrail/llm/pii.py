@@ -19,6 +19,8 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_left
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -31,27 +33,40 @@ from pegtrail.llm.batches import map_slices, shared_dir, strings
 KINDS = ("email", "ip", "card", "phone", "secret", "ssn", "account", "name")
 BASE_KINDS = KINDS[:4]
 
-_EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
-_ADDRESS_RUN = re.compile(r"[A-Za-z0-9._%+@-]*@[A-Za-z0-9._%+@-]*")
+_DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
+_LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 
 #: The wider patterns, by kind: (needs a digit in the text, pattern with the span as group 1).
 WIDER = (
     ("secret", True, re.compile(r"\b((?:AKIA|ASIA)[0-9A-Z]{12,})\b")),
     ("secret", False, re.compile(r"(?i)\b(?:password|passwd|pwd|secret|token|api[_-]?key)\s*[=:]\s*\"?([^\s\"]{6,})")),
     ("secret", True, re.compile(r"(?<![A-Za-z0-9])([A-Fa-f0-9]{32,}|(?:gh[pousr]_|sk-|xox[bap]-)[A-Za-z0-9-]{16,})(?![A-Za-z0-9])")),
-    ("email", False, re.compile(r"([A-Za-z0-9._%+-]+ ?(?:\[at\]|\(at\)) ?[A-Za-z0-9-]+(?: ?(?:\[dot\]|\(dot\)|\.) ?[A-Za-z0-9-]+)+)")),
+    ("email", False, re.compile(r"(?<![A-Za-z0-9._%+-])([A-Za-z0-9._%+-]{1,64} ?(?:\[at\]|\(at\)) ?[A-Za-z0-9-]+(?:(?: ?(?:\[dot\]|\(dot\)) ?|\.)[A-Za-z0-9-]+)+)")),
     ("ssn", True, re.compile(r"(?<![0-9-])([0-9]{3}-[0-9]{2}-[0-9]{4})(?![0-9-])")),
     ("phone", True, re.compile(r"(?<![0-9+(-])(\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4})(?![0-9-])")),
     ("account", True, re.compile(r"\b([A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7})\b")),
     ("name", False, re.compile(r"\b(?:Mr|Mrs|Ms|Dr|Prof)\. ([A-Z][a-z]+(?: [A-Z][a-z]+)?)")),
 )
+#: Given names and family names that are common in English text.
+GIVEN_NAMES = (
+    "Alice", "Amanda", "Andrew", "Anna", "Anthony", "Barbara", "Carol", "Charles", "Christopher", "Daniel", "David", "Deborah", "Donald", "Edward", "Elizabeth", "Emily", "Emma", "George", "Helen", "James",
+    "Jennifer", "Jessica", "John", "Joseph", "Karen", "Kevin", "Laura", "Linda", "Lisa", "Margaret", "Maria", "Mark", "Mary", "Matthew", "Michael", "Michelle", "Nancy", "Patricia", "Paul", "Peter",
+    "Richard", "Robert", "Ruth", "Sandra", "Sarah", "Steven", "Susan", "Thomas", "Timothy", "William",
+)
+FAMILY_NAMES = (
+    "Adams", "Allen", "Anderson", "Baker", "Brown", "Campbell", "Carter", "Clark", "Davis", "Evans", "Garcia", "Gonzalez", "Green", "Hall", "Harris", "Hernandez", "Hill", "Jackson", "Johnson", "Jones",
+    "King", "Lee", "Lewis", "Lopez", "Martin", "Martinez", "Miller", "Mitchell", "Moore", "Nelson", "Perez", "Phillips", "Roberts", "Robinson", "Rodriguez", "Scott", "Smith", "Taylor", "Thomas", "Thompson",
+    "Torres", "Turner", "Walker", "White", "Williams", "Wilson", "Wright", "Young",
+)
+_NAMES = re.compile(rf"\b((?:{'|'.join(GIVEN_NAMES)}) (?:[A-Z]\. )?[A-Z][a-z]+)\b")
+_GIVEN, _FAMILY = frozenset(GIVEN_NAMES), frozenset(FAMILY_NAMES)
 _TITLES = re.compile(r"(?:Mr|Mrs|Ms|Dr|Prof)\. ")
 
-#: Words before a span that speak for it, and strings that speak against it.
+#: Words before a span that speak for it (for a name, a listed family name as well), and strings that speak against it.
 GAZETTEER = re.compile(r"(?i)(?:password|passwd|pwd|secret|token|key|mail|contact|phone|tel|call|mobile|fax|ssn|iban|account|card|visa|address|host|server|ip|mr|mrs|ms|dr|prof)\W{0,4}$")
 PLACEHOLDER = re.compile(r"(?i)x{4,}|\*{3,}|your|changeme|placeholder|12345678|(.)\1{5,}")
 
@@ -74,10 +89,7 @@ def _only_digits(text: str) -> str:
 def base_matches(text: str) -> list[tuple[int, int, int, bool]]:
     """(start, kind, end, valid) of every base match, also of those that fail their check."""
     found = []
-    if "@" in text:
-        # an address never leaves the run of its characters, so the pattern needs to be tried inside such runs only
-        for run in _ADDRESS_RUN.finditer(text) if text.count("@") > 8 else _runs(text):
-            found += [(m.start(), 0, m.end(), True) for m in _EMAIL.finditer(text, run.start(), run.end())]
+    found += [(start, 0, end, True) for start, end in emails(text)]
     if _DIGIT.search(text):
         for m in _IP.finditer(text):
             found.append((m.start(), 1, m.end(), all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or 0) <= 255 for p in m[0].split("."))))
@@ -91,36 +103,19 @@ def base_matches(text: str) -> list[tuple[int, int, int, bool]]:
     return sorted(found)
 
 
-_LEFT = re.compile(r"[A-Za-z0-9._%+@-]*$")
-_RIGHT = re.compile(r"[A-Za-z0-9._%+@-]*")
-
-
-class _Run:
-    __slots__ = ("_span",)
-
-    def __init__(self, a: int, b: int):
-        self._span = (a, b)
-
-    def start(self) -> int:
-        return self._span[0]
-
-    def end(self) -> int:
-        return self._span[1]
-
-
-_INSIDE = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+@-")
-
-
-def _runs(text: str):
-    """The runs of address characters that hold an @."""
-    at = text.find("@")
+def emails(text: str) -> list[tuple[int, int]]:
+    """(start, end) of the base pattern's addresses, leftmost first: from each @ back over the local part, so that long runs are read once."""
+    found, low, at = [], 0, text.find("@")
     while at >= 0:
-        a = at
-        while a and text[a - 1] in _INSIDE:
-            a -= 1
-        b = _RIGHT.match(text, at).end()
-        yield _Run(a, b)
-        at = text.find("@", b)
+        start = at
+        while start > low and text[start - 1] in _LOCAL:
+            start -= 1
+        end = at + 1
+        if start < at and (m := _DOMAIN.match(text, at + 1)):
+            end = m.end()
+            found.append((start, end))
+        low, at = end, text.find("@", end)
+    return found
 
 
 def wider_matches(text: str, taken: list[tuple[int, int]]) -> list[tuple[int, int, int]]:
@@ -132,11 +127,14 @@ def wider_matches(text: str, taken: list[tuple[int, int]]) -> list[tuple[int, in
         if kind == "secret" and not needs and "=" not in text and ":" not in text:
             continue
         found += [(m.start(1), KINDS.index(kind), m.end(1)) for m in pattern.finditer(text)]
-    kept, held = [], sorted(taken)
+    found += [(m.start(1), KINDS.index("name"), m.end(1)) for m in _NAMES.finditer(text)]
+    taken = sorted(taken)
+    begins, reach, kept, last = [a for a, _ in taken], list(accumulate((b for _, b in taken), max)), [], 0
     for start, kind, end in sorted(found):
-        if not any(a < end and start < b for a, b in held):
+        before = bisect_left(begins, end)
+        if start >= last and not (before and reach[before - 1] > start):
             kept.append((start, kind, end))
-            held.append((start, end))
+            last = end
     return kept
 
 
@@ -155,7 +153,7 @@ def votes_of(text: str, start: int, end: int, kind: int, valid: bool | None) ->
     votes = (
         2 if shape else 1,
         0 if valid is None else 2 if valid else 1,
-        2 if GAZETTEER.search(before) else 0,
+        2 if GAZETTEER.search(before) or name == "name" and _FAMILY.intersection(span.split(" ")) else 1 if name == "name" and not _GIVEN.intersection(span.split(" ")) else 0,
         1 if PLACEHOLDER.search(span) else 0,
         2 if re.search(r"[=:]\s*\"?$", before) else 0,
         1 if re.search(r"[0-9][,.;/ ]+$", before) and re.match(r"[,.;/ ]+[0-9]", after) else 0,
@@ -258,7 +256,10 @@ def fit_spans(table: dict[int, tuple[float, int]], rounds: int = 30, l2: float =
 
 
 def personal_data(df: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = 0.5) -> DataFrame:
-    """(key, n_email, n_ip, n_card, n_phone, base_sha256, spans) of each whole text."""
+    """(key, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_more, n_secret, n_ssn, n_account, n_name) of each whole text.
+
+    The first four count base spans, `n_more` the added ones of any kind, the last four those of their kind.
+    """
     spark = df.sparkSession
     shared_dir(spark)
     found = find(df, key, text).checkpoint()
@@ -277,4 +278,6 @@ def personal_data(df: DataFrame, key: str = "doc_id", text: str = "text", thresh
     names = F.array(*[F.lit(k) for k in KINDS])
     spans = F.array_sort(F.concat(F.transform("base", place), F.transform(added, place)))
     text_of = F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.element_at(names, s["rank"] + 1), s["start"].cast("string"), s["end"].cast("string"))), ",")
-    return found.select(key, *[f"n_{k}" for k in BASE_KINDS], "base_sha256", text_of.alias("spans"))
+    count = lambda rank: F.size(F.filter(added, lambda m: m["rank"] == rank)).cast("long")
+    of_kind = [count(i).alias(f"n_{k}") for i, k in enumerate(KINDS) if k not in BASE_KINDS]
+    return found.select(key, *[f"n_{k}" for k in BASE_KINDS], "base_sha256", text_of.alias("spans"), F.size(added).cast("long").alias("n_more"), *of_kind)
