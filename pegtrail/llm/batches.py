@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -30,10 +31,13 @@ def small_batches(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> None:
-    """Set a checkpoint folder where the cluster names none (tests): a cluster sets spark.checkpoint.dir itself."""
+    """Use the checkpoint folder that the session names. Only a session within one machine may name none: it gets one of its own."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints/pegtrail")
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not re.match(r"local(\[|$)", context.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        context.setCheckpointDir(folder or "/tmp/checkpoints/pegtrail")
 
 
 def picked(rows: DataFrame, keys: DataFrame, on: list[str], how: str = "inner") -> DataFrame:

@@ -31,6 +31,8 @@ from pegtrail.llm.batches import map_slices, strings
 
 #: Pieces in each of the two tables, young and old, that a worker keeps between slices.
 KEPT_PIECES = 300_000
+#: Longer pieces aren't kept, so that the tables' bytes are bounded as well.
+KEPT_LENGTH = 64
 
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 _TWO = re.compile(r"\s\s")
@@ -90,7 +92,9 @@ class Pieces(dict):
 
     def __missing__(self, part: str) -> bytes:
         found = self.old.get(part)
-        self[part] = found = self.encoder.spaced(part) if found is None else found
+        found = self.encoder.spaced(part) if found is None else found
+        if len(part) <= KEPT_LENGTH:
+            self[part] = found
         return found
 
 
@@ -141,8 +145,9 @@ class Encoder:
     def offsets(self, ids: bytes, raw: bytes) -> tuple[list[int], list[int]]:
         """Character start and end (exclusive) of each token; tokens that share a character share its place."""
         lead = np.concatenate([[0], np.cumsum((np.frombuffer(raw, np.uint8) & 0xC0) != 0x80)])
-        ends = np.cumsum([len(self.table[i]) for i in np.frombuffer(ids, "<u4").tolist()], dtype=np.int64)
-        starts = np.concatenate([[0], ends[:-1]]).astype(np.int64)
+        lengths = np.array([len(self.table[i]) for i in np.frombuffer(ids, "<u4").tolist()], np.int64)
+        ends = np.cumsum(lengths)
+        starts = ends - lengths
         first = lead[np.minimum(starts + 1, len(raw))] - 1  # of the character that the token's first byte is in
         return first.tolist(), lead[ends].tolist()
 

@@ -176,8 +176,8 @@ class Model:
             return
         active = np.searchsorted(-lengths, -np.arange(lengths[0]), "left")
         value = np.zeros((len(begin), score.shape[1]))
-        own = np.arange(score.shape[1], dtype=np.int8)
-        back = np.zeros(score.shape, np.int8)
+        own = np.arange(score.shape[1], dtype=np.int32)
+        back = np.zeros(score.shape, np.int32)
         for t in range(int(lengths[0])):
             k = active[t]
             at = begin[:k] + t

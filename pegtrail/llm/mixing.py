@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 
 from pegtrail.llm.batches import shared_dir
 
-#: Key ranges of a source: the more, the fewer rows of one source meet in a task.
-RANGES = 2048
+#: Key ranges of a source, at least, and rows of all sources for each further one: the more, the fewer rows of one source meet in a task.
+RANGES, RANGE_ROWS = 2048, 1_000_000
 #: Up to so many sources their table is broadcast (some 100 bytes each); beyond it the join shuffles.
 BROADCAST_SOURCES = 20_000
 
@@ -67,7 +67,9 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), limit: in
     shared_dir(docs.sparkSession)
     quality = F.greatest(F.coalesce(F.col("quality"), F.lit(floor)), F.lit(floor))
     key = -F.log(uniform(F.col("doc_id"))) / quality
-    keyed = docs.select("doc_id", "source", "size", key.alias("key")).withColumn("part", F.floor((1 - F.exp(-F.col("key"))) * RANGES)).checkpoint()
+    keyed = docs.select("doc_id", "source", "size", key.alias("key")).checkpoint()
+    ranges = max(RANGES, keyed.count() // RANGE_ROWS)
+    keyed = keyed.withColumn("part", F.floor(F.col("key") / (1 + F.col("key")) * ranges))  # spreads keys of all qualities: half a percent of a quality's rows at most in one of 2048
     parts = keyed.groupBy("source", "part").agg(F.sum("size").alias("part_size"))
     sources = source_targets(parts.groupBy("source").agg(F.sum("part_size").alias("source_size")), weights, limit).checkpoint()
     small = sources.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES

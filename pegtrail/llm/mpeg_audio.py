@@ -211,7 +211,7 @@ def _scan(data: bytes, last: int) -> dict:
     frames: list[tuple[int, dict]] = []
     good = bad = lost = skipped = 0
     bodies, at, like = [], 0, None
-    synced = True
+    synced, tag_at = True, -1  # the next "ID3" out of step, looked for again only when it is passed
     while at < last:
         if data[at : at + 3] == b"ID3" and at + 10 <= last:
             size, more = _id3v2(data, at)
@@ -237,7 +237,9 @@ def _scan(data: bytes, last: int) -> dict:
                 continue
         if synced:
             lost, synced = lost + 1, False
-        here, at = at, min((x for x in (data.find(b"\xff", at + 1, last), data.find(b"ID3", at + 1, last)) if x >= 0), default=last)
+        if tag_at <= at:
+            tag_at = found if (found := data.find(b"ID3", at + 1, last)) >= 0 else last
+        here, at = at, min(found if (found := data.find(b"\xff", at + 1, last)) >= 0 else last, tag_at)
         skipped += at - here
     return {"tags": dict(tags), "texts": texts, "vbr": vbr, "frames": frames, "crc_good": good, "crc_bad": bad, "resyncs": lost, "skipped": skipped, "samples": sum(h["samples"] for _, h in frames), "hz": frames[0][1]["hz"] if frames else None, "bodies": bodies}
 
@@ -245,7 +247,7 @@ def _scan(data: bytes, last: int) -> dict:
 def _vbr(data: bytes, at: int, h: dict) -> dict:
     """The fields of a Xing or Info table, or of a VBRI one."""
     if data[at + 36 : at + 40] == b"VBRI":
-        size, count = struct.unpack(">II", data[at + 46 : at + 54])
+        size, count = struct.unpack(">II", data[at + 46 : at + 54]) if len(data) >= at + 54 else (None, None)
         return {"kind": "VBRI", "frames": count, "bytes": size, "toc": b""}
     pos = at + 4 + h["side"]
     kind, flags = data[pos : pos + 4].decode(), int.from_bytes(data[pos + 4 : pos + 8], "big")
@@ -261,8 +263,8 @@ def _vbr(data: bytes, at: int, h: dict) -> dict:
 
 def payload_of(found: dict) -> bytes:
     """What pack() stored."""
-    size = int(found["texts"].get("TXXX:payload_bytes", "0"))
-    return b"".join(found["bodies"])[:size]
+    size = found["texts"].get("TXXX:payload_bytes", "0")
+    return b"".join(found["bodies"])[: int(size) if size.isascii() and size.isdigit() and len(size) < 19 else 0]
 
 
 def feature(found: dict) -> str:

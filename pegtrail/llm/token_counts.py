@@ -22,6 +22,8 @@ from pegtrail.llm.batches import map_slices, strings
 SPACE = "▁"
 #: Parts in each of the two tables, young and old, that a worker keeps between slices besides the proven ones.
 KEPT_PARTS = 250_000
+#: Longer parts aren't kept, so that the tables' bytes are bounded as well.
+KEPT_LENGTH = 64
 
 _PARTS = re.compile(r" +[^ ]*")
 
@@ -67,7 +69,11 @@ class Counter:
         self.young.update((x, self.old[x]) for x in new if x in self.old)
         self.merge([x for x in new if x not in self.young])
         get = self.young.__getitem__
-        return [sum(map(get, x)) for x in cut]
+        counts = [sum(map(get, x)) for x in cut]
+        for x in new:
+            if len(x) > KEPT_LENGTH:
+                del self.young[x]
+        return counts
 
 
 @lru_cache(maxsize=1)
