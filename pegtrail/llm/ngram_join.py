@@ -142,11 +142,17 @@ def may_link(percent: int, n: str, i: str, m: str, j: str):
 
 
 def other_prefixes(texts: DataFrame, tables, n: int, percent: int) -> DataFrame:
-    """(node, p1, p2, ...): each text's prefixes under the orders after the first."""
+    """(node, p1, p2, ...): each text's prefixes under the orders after the first; a task writes equal texts once."""
     orders = range(1, ORDERS)
 
     def make():
+        seen = set()
+
         def step(part: pa.RecordBatch) -> dict:
+            fresh = [i for i, x in enumerate(part.column(0).to_pylist()) if x not in seen and not seen.add(x)]
+            if len(seen) > 1_000_000:
+                seen.clear()
+            part = part.take(pa.array(fresh, pa.int64()))
             sets = shingle_sets(part.column(1), n)
             return {"node": part.column(0)} | {f"p{o}": pa.array([ordered(x, tables.value[o], o, percent).view(np.int64) for x in sets], pa.list_(pa.int64())) for o in orders}
 
@@ -158,21 +164,21 @@ def other_prefixes(texts: DataFrame, tables, n: int, percent: int) -> DataFrame:
 def verify(pairs: DataFrame, texts: DataFrame, tables, n: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose sets are similar: of those that share prefix tokens under every further order too, texts are compared."""
 
-    def own(pairs: DataFrame) -> DataFrame:
+    def texts_of(pairs: DataFrame) -> DataFrame:
         nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct().checkpoint()
         few = nodes.limit(BROADCAST_NODES + 1).count() <= BROADCAST_NODES
-        return texts.select("node", "text").join(F.broadcast(nodes) if few else nodes, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text"))
+        return texts.select("node", "text").join(F.broadcast(nodes) if few else nodes, "node", "left_semi")
 
-    held = own(pairs)
-    prefix = other_prefixes(held, tables, n, percent)
-    names = [c for c in prefix.columns if c != "node"]
+    found = other_prefixes(texts_of(pairs), tables, n, percent)
+    names = [c for c in found.columns if c != "node"]
+    prefix = found.groupBy("node").agg(*[F.first(p).alias(p) for p in names])
     side = lambda c: prefix.select(F.col("node").alias(c), *[F.col(p).alias(p + c) for p in names])
     meet = F.lit(True)
     for p in names:
         meet = meet & F.arrays_overlap(p + "a", p + "b")
     near = pairs.join(side("a"), "a").join(side("b"), "b").where(meet).select("a", "b").checkpoint()
-    texts_of = own(near)
-    both = near.join(texts_of.withColumnRenamed("node", "a").withColumnRenamed("text", "text_a"), "a").join(texts_of.withColumnRenamed("node", "b").withColumnRenamed("text", "text_b"), "b")
+    own = texts_of(near).groupBy("node").agg(F.first("text").alias("text"))
+    both = near.join(own.withColumnRenamed("node", "a").withColumnRenamed("text", "text_a"), "a").join(own.withColumnRenamed("node", "b").withColumnRenamed("text", "text_b"), "b")
 
     def make():
         def step(part: pa.RecordBatch) -> dict:
