@@ -12,22 +12,35 @@ from pyspark.sql import functions as F
 from pegtrail.llm.batches import shared_dir
 
 
+#: Links that one partition holds: few links in many partitions would cost more in files than in rows.
+PART_LINKS = 100_000
+
+
 def components(links: DataFrame, a: str = "a", b: str = "b", rounds: int = 50) -> DataFrame:
-    """(node, component): the least node that each linked node reaches; nodes without links have no row."""
+    """(node, component): the least node that each linked node reaches; nodes without links have no row.
+
+    Rounds needed grow with the logarithm of a component's size; more than `rounds` raise an error.
+    """
     shared_dir(links.sparkSession)
     above = links.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"))
     edges = above.distinct().checkpoint()
-    before = None
-    for _ in range(rounds):
+    before, now = None, _state(edges)
+    parts = now[0] // PART_LINKS + 1  # no round has more links than there are at first
+    edges = edges.coalesce(parts)
+    while now != before:
+        if not rounds:
+            raise RuntimeError("links have not settled in the rounds given")
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").coalesce(parts).distinct().coalesce(parts)
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         joined = large.join(low, "u")
         small = joined.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
-        edges = small.where("u <> v").distinct().checkpoint()
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == before:
-            break
-        before = now
-    return edges.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+        edges = small.where("u <> v").coalesce(parts).distinct().coalesce(parts).checkpoint()
+        before, now, rounds = now, _state(edges), rounds - 1
+    return edges.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()).coalesce(parts)
+
+
+def _state(edges: DataFrame) -> tuple:
+    """The number of links and the sum of their hashes, by which an unchanged round is known."""
+    return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
