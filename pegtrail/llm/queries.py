@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pegtrail.llm import byte_bpe, language, line_dedup, mixing, mpeg_audio, ngram_join, pii, quality_forest, substring_dedup, token_counts
+from pegtrail.llm import byte_bpe, conversation_repair, language, line_dedup, mixing, mpeg_audio, ngram_join, pii, quality_forest, substring_dedup, token_counts
 from pegtrail.llm.batches import documents
 
 
@@ -57,8 +57,12 @@ def op10_token_counts(spark, sf_dir):
     return token_counts.count_tokens(documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mpeg_audio, op2_quality_forest, op3_ngram_join, op4_byte_bpe, op5_mixing, op6_pii, op7_language, op8_substring_dedup, op9_line_dedup, op10_token_counts)}
-ORACLE = {"op5_mixing": mixing.ORACLE}
+def op13_conversation_repair(spark, sf_dir):
+    return conversation_repair.audits(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
+QUERIES = {f.__name__: f for f in (op1_mpeg_audio, op2_quality_forest, op3_ngram_join, op4_byte_bpe, op5_mixing, op6_pii, op7_language, op8_substring_dedup, op9_line_dedup, op10_token_counts, op13_conversation_repair)}
+ORACLE = {"op5_mixing": mixing.ORACLE, "op13_conversation_repair": conversation_repair.ORACLE}
 
 
 def pipeline(spark, sf_dir):
