@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pegtrail.llm import byte_bpe, conversation_repair, language, line_dedup, mixing, mpeg_audio, ngram_join, pii, quality_forest, substring_dedup, token_counts, warc
+from pegtrail.llm import byte_bpe, collocations, conversation_repair, language, line_dedup, mixing, mpeg_audio, ngram_join, pii, quality_forest, substring_dedup, token_counts, warc
 from pegtrail.llm.batches import documents
 
 
@@ -61,12 +61,16 @@ def op11_warc(spark, sf_dir):
     return warc.round_trip(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
+def op12_collocations(spark, sf_dir):
+    return collocations.collocations(documents(spark, sf_dir))
+
+
 def op13_conversation_repair(spark, sf_dir):
     return conversation_repair.audits(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mpeg_audio, op2_quality_forest, op3_ngram_join, op4_byte_bpe, op5_mixing, op6_pii, op7_language, op8_substring_dedup, op9_line_dedup, op10_token_counts, op11_warc, op13_conversation_repair)}
-ORACLE = {"op5_mixing": mixing.ORACLE, "op11_warc": warc.ORACLE, "op13_conversation_repair": conversation_repair.ORACLE}
+QUERIES = {f.__name__: f for f in (op1_mpeg_audio, op2_quality_forest, op3_ngram_join, op4_byte_bpe, op5_mixing, op6_pii, op7_language, op8_substring_dedup, op9_line_dedup, op10_token_counts, op11_warc, op12_collocations, op13_conversation_repair)}
+ORACLE = {"op5_mixing": mixing.ORACLE, "op11_warc": warc.ORACLE, "op12_collocations": collocations.ORACLE, "op13_conversation_repair": conversation_repair.ORACLE}
 
 
 def pipeline(spark, sf_dir):

@@ -1,6 +1,6 @@
 """Words of a slice of texts and their 64-bit hashes, as flat numpy arrays.
 
-Words are runs of bytes outside x20 and x09-x0D. All sums are modulo 2**64.
+Words are runs of bytes outside x20 and x09-x0D, or outside another set. All sums are modulo 2**64.
 """
 
 from __future__ import annotations
@@ -46,9 +46,9 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 class Words:
     """Flat words: `start` and `end` bytes, `first` word of each text (one more for the end)."""
 
-    def __init__(self, data: np.ndarray, text_at: np.ndarray, lower: bool = False):
+    def __init__(self, data: np.ndarray, text_at: np.ndarray, lower: bool = False, space: np.ndarray = _SPACE):
         self.data, self.text_at = data, text_at
-        inside = ~_SPACE[data]
+        inside = ~space[data]
         edge = np.zeros(len(data) + 1, bool)
         edge[text_at] = True
         before = np.concatenate([[False], inside[:-1]]) if len(data) else inside
