@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pegtrail.plans import core, decide, payload, scalar, tree
+from pegtrail.plans import core, decide, payload, scalar, tree, trees
 
 
-MODULES = (core, tree, decide, scalar, payload)
+MODULES = (core, tree, trees, decide, scalar, payload)
 
 
 def queries():
