@@ -49,7 +49,7 @@ def resolve_windows(requests: DataFrame, block: DataFrame, n: int = TIP_HEIGHTS)
     to_tip = F.col("at_height").isNull() & F.col("at_time").isNull() & ~bounds
     pick = lambda asked, top: F.when(F.col("at_height").isNotNull(), F.col("at_height")).when(by_time, F.col("found")).when(bounds, F.col(asked)).otherwise(top)
     reason = F.when(by_time & F.col("found").isNull(), "no_complete_canonical_at_or_before_time").when(to_tip & F.col("top").isNull(), "no_canonical_tip")
-    return r.select("window_id", pick("low", F.greatest(F.col("top") - (n - 1), F.lit(0))).alias("low"), pick("high", F.col("top")).alias("high"), F.when(to_tip, F.col("top")).alias("tip"), to_tip.alias("defaulted"), reason.alias("empty_reason"))
+    return r.select("window_id", pick("low", F.when(F.col("top").isNotNull(), F.greatest(F.col("top") - (n - 1), F.lit(0)))).alias("low"), pick("high", F.col("top")).alias("high"), F.when(to_tip, F.col("top")).alias("tip"), to_tip.alias("defaulted"), reason.alias("empty_reason"))
 
 
 def in_heights(windows: DataFrame, block: DataFrame) -> DataFrame:
