@@ -146,7 +146,7 @@ def reclassify_unknown(block: DataFrame, verdict: DataFrame) -> DataFrame:
     return block.where("kind = 'unknown'").join(v, "hash").where("new <> kind").groupBy(F.col("kind").alias("old"), "new").agg(F.count("*").alias("n"))
 
 
-def horizon_gate(df: DataFrame, tip: DataFrame, now: int, fresh_s: int = 86400) -> DataFrame:
+def horizon_gate(df: DataFrame, tip: DataFrame, now: int | Column, fresh_s: int = 86400) -> DataFrame:
     """Rows beyond the epoch table: resolved at or below the tip, far_future well above a fresh tip, else held.
 
     tip: one row (tip_height, tip_time); without it every row is held.
@@ -156,17 +156,28 @@ def horizon_gate(df: DataFrame, tip: DataFrame, now: int, fresh_s: int = 86400)
     return j.withColumn("gate", F.when(F.col("height") <= F.col("tip_height"), "resolve").when(far, "far_future").otherwise("hold")).drop("tip_height", "tip_time")
 
 
-def import_decision(df: DataFrame) -> DataFrame:
-    """What to do with a published row, by its class and the present verdict: (published, verdict, absent).
+def import_decision(df: DataFrame, classifier: bool = True, allow_unclassified: bool = False) -> DataFrame:
+    """`decision` on a published row, and `skip_reason` if it is skipped: (published, selection, orphan_verdict, verdict,
+    core_attested, absent, catalogued).
 
-    Error rows are refused; a node's stale verdict stands over a published canonical; an unknown needs proof of absence.
+    A catalogued error block is never taken. Without a classifier, rows other than unknown ones are, if that is allowed. Else the
+    present verdict decides: canonical needs a row published as such; stale one published as stale or selected as a known
+    stale, or a canonical one where the node itself attests the stale block; unknown is taken where a known stale branch
+    is selected, whose absence then isn't attested, or as an orphan, strict or weak, that the node attests absent.
     """
-    p, v = F.col("published"), F.col("verdict")
-    rule = (
-        F.when((p == "error_block") | (v == "error_block"), "refuse").when(v == "near", "near").when((p == "canonical") & (v == "stale"), "stale").when(p == v, "accept").when((v == "unknown") & F.col("absent") & p.isin("stale", "stale_descendant"), "accept_absent")
-        .when((v == "unknown") & ~F.col("absent"), "defer").otherwise("mismatch")
+    published, verdict = F.col("published"), F.col("verdict")
+    yes = lambda c: F.coalesce(F.col(c), F.lit(False))
+    known = F.coalesce(F.col("selection").isin("known_direct_stale", "known_stale_descendant"), F.lit(False))
+    take_stale = published.isin("stale", "stale_descendant") | known | ((published == "canonical") & yes("core_attested"))
+    orphan = yes("absent") & (published == "unknown") & F.coalesce(F.col("orphan_verdict").isin("strict", "weak"), F.lit(False))
+    by_verdict = (
+        F.when(verdict == "canonical", F.when(published == "canonical", "capture").otherwise("!classification_mismatch")).when(verdict == "stale", F.when(take_stale, "capture").otherwise("!classification_mismatch"))
+        .when(verdict == "error_block", "!unsupported_classification").when((verdict == "unknown") & known, "capture_known_branch").when((verdict == "unknown") & orphan, "capture").otherwise("!unclassified")
     )
-    return df.withColumn("decision", rule)
+    without = F.when(F.lit(allow_unclassified) & (published != "unknown"), "capture_unclassified").otherwise("!unclassified")
+    rule = F.when(yes("catalogued"), "!unsupported_classification").otherwise(by_verdict if classifier else without)
+    skipped = F.startswith(rule, F.lit("!"))
+    return df.withColumn("decision", F.when(skipped, "skip").otherwise(rule)).withColumn("skip_reason", F.when(skipped, F.substring(rule, 2, 100)))
 
 
 def source_sync(df: DataFrame, fresh_s: int = 3600) -> DataFrame:

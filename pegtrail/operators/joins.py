@@ -171,9 +171,6 @@ def unlinked_dependents(block: DataFrame) -> DataFrame:
     return block.join(block.select(F.col("hash").alias("prev_hash")).distinct(), "prev_hash", "left_anti")
 
 
-def hidden(kind: Column) -> Column:
-    return kind == "hidden"
-
 
 def nearest_canonical(block: DataFrame, times: DataFrame, step: int = 86400) -> DataFrame:
     """(t, height, off) for each time: the canonical block nearest in time, ties by the least height.

@@ -113,15 +113,23 @@ def reclassify_unknown(spark, sf):
 
 
 def horizon_gate(spark, sf):
+    """Stale blocks, half of which claim heights around and above the spine's tip, an hour after the tip's time."""
     b = V.blocks(spark, sf)
-    tip = b.where("kind = 'canonical' and height < 1000").agg(F.max("height").alias("tip_height"), F.max("time").alias("tip_time"))
-    return K.horizon_gate(b.where("kind = 'stale'").select("hash", "height"), tip, V.GENESIS_TIME + 605_000)
+    tip = b.where("kind = 'canonical'").agg(F.max("height").alias("tip_height"), F.max("time").alias("tip_time"))
+    top = tip.select(F.col("tip_height").alias("top"))
+    claimed = F.col("height") + F.col("time") % 300 + F.when(F.col("time") % 2 == 0, 0).otherwise(F.col("top") - 100)
+    rows = b.where("kind = 'stale'").crossJoin(F.broadcast(top)).select("hash", claimed.alias("height"))  # one row on the right
+    return K.horizon_gate(rows, tip, F.col("tip_time") + 3600)
 
 
 def import_decision(spark, sf):
-    v = _verdict(spark, sf)
-    pub = V.blocks(spark, sf).select("hash", F.when(F.col("kind") == "unknown", "stale").otherwise(F.col("kind")).alias("published"), (F.col("time") % 2 == 0).alias("absent"))
-    return K.import_decision(pub.join(v.select("hash", F.col("kind").alias("verdict")), "hash")).select("hash", "decision")
+    """Each parent published in four ways, so that every class meets every verdict."""
+    v = _verdict(spark, sf).select("hash", F.col("kind").alias("verdict"))
+    h = F.conv(F.substring("hash", 1, 6), 16, 10).cast("long")
+    ways = F.explode(F.array(*[F.lit(x) for x in ("canonical", "stale", "stale_descendant", "unknown")])).alias("published")
+    rows = v.select("hash", "verdict", ways, F.when(h % 5 == 0, "known_direct_stale").when(h % 5 == 1, "known_stale_descendant").when(h % 5 == 2, "strict_btc_orphan").alias("selection"), F.when(h % 7 < 2, "strict").when(h % 7 < 4, "weak").when(h % 7 == 4, "excluded").alias("orphan_verdict"), F.when(h % 3 > 0, h % 3 == 1).alias("core_attested"), (h % 2 == 0).alias("absent"), (h % 41 == 0).alias("catalogued"))
+    every = K.import_decision(rows).withColumn("mode", F.lit("classified")).unionByName(K.import_decision(rows, False, True).withColumn("mode", F.lit("unclassified"))).unionByName(K.import_decision(rows, False).withColumn("mode", F.lit("off")))
+    return every.select("hash", "published", "mode", "decision", "skip_reason")
 
 
 def source_sync(spark, sf):
@@ -279,11 +287,18 @@ from j left join verdict v on v.hash = j.hash"""),
     "demote_inactive": V.oracle(f", s as (select distinct parent_hash from event where {ACTIVE}), d as (select b.*, s.parent_hash is null and not core_attested as demoted from block b left join s on s.parent_hash = b.hash) select hash, case when demoted then 'unknown' else kind end as kind, case when not demoted then height end as height, case when not demoted then competitor_hash end as competitor_hash, demoted from d"),
     "known_stale_demotion": V.oracle(", u as (select *, coalesce(time % 3 = 0 and orphan_class in ('strict', 'weak'), false) as changed from block where kind = 'unknown') select hash, case when changed then 'excluded' else orphan_class end as orphan_class, changed from u"),
     "reclassify_unknown": V.oracle(PAR + "select 'unknown' as old, v.kind as new, count(*) as n from block b join verdict v on v.hash = b.hash where (b.height % 4 = 0 or b.kind = 'unknown') and v.kind <> 'unknown' group by 2"),
-    "horizon_gate": V.oracle(", t as (select max(height) as th, max(time) as tt from block where kind = 'canonical' and height < 1000) select hash, height, case when height <= th then 'resolve' when height > th + 144 and 1231611505 - tt <= 86400 then 'far_future' else 'hold' end as gate from block cross join t where kind = 'stale'"),
+    "horizon_gate": V.oracle(", t as (select max(height) as th from block where kind = 'canonical'), c as (select hash, height + time % 300 + case when time % 2 = 0 then 0 else th - 100 end as height from block cross join t where kind = 'stale') select hash, height, case when height <= th then 'resolve' when height > th + 144 then 'far_future' else 'hold' end as gate from c cross join t"),
     "import_decision": V.oracle(PAR + """
-, p as (select hash, case when kind = 'unknown' then 'stale' else kind end as published, time % 2 = 0 as absent from block)
-select p.hash, case when published = 'error_block' or v.kind = 'error_block' then 'refuse' when v.kind = 'near' then 'near' when published = 'canonical' and v.kind = 'stale' then 'stale' when published = v.kind then 'accept' when v.kind = 'unknown' and absent and published in ('stale', 'stale_descendant') then 'accept_absent'
-  when v.kind = 'unknown' and not absent then 'defer' else 'mismatch' end as decision from p join verdict v on v.hash = p.hash"""),
+, i as (select hash, kind, published, ('0x' || substr(hash, 1, 6))::bigint as h from verdict, (values ('canonical'), ('stale'), ('stale_descendant'), ('unknown')) p(published)),
+r as (select *, h % 5 in (0, 1) as known, h % 7 < 4 as orphan, h % 3 = 1 as node, h % 2 = 0 as absent, h % 41 = 0 as listed from i),
+d as (
+  select hash, published, 'classified' as mode, case when listed or kind = 'error_block' then 'skip unsupported_classification'
+    when kind = 'canonical' then case published when 'canonical' then 'capture' else 'skip classification_mismatch' end
+    when kind = 'stale' then case when published like 'stale%' or known or published = 'canonical' and node then 'capture' else 'skip classification_mismatch' end
+    when kind = 'unknown' and known then 'capture_known_branch' when kind = 'unknown' and published = 'unknown' and absent and orphan then 'capture' else 'skip unclassified' end as x from r
+  union all select hash, published, 'unclassified', case when listed then 'skip unsupported_classification' when published = 'unknown' then 'skip unclassified' else 'capture_unclassified' end from r
+  union all select hash, published, 'off', case when listed then 'skip unsupported_classification' else 'skip unclassified' end from r)
+select hash, published, mode, split_part(x, ' ', 1) as decision, nullif(split_part(x, ' ', 2), '') as skip_reason from d"""),
     "source_sync": V.oracle("select code, case s.source_id when 1 then 'historical' when 2 then 'catching_up' when 3 then 'live' when 4 then 'stale' when 5 then 'not_started' else 'error' end as state from source s join (select distinct source_id from event) e on e.source_id = s.source_id"),
     "publication_category": V.oracle("""
 , rw as (select hash, case when kind = 'error_block' then case when time % 2 = 0 then 'near' else 'other' end when kind = 'stale' and time % 5 = 0 then 'stale_descendant' else kind end as c,
