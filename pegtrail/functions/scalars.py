@@ -86,7 +86,7 @@ def bip34_height(script: Column) -> Column:
     """The height that a coinbase script starts with: a push of 1 to 4 bytes, little-endian, up to the bound."""
     h = F.hex(script)
     size = F.conv(F.substring(h, 1, 2), 16, 10).cast("int")
-    value = F.conv(swap_hex(F.substring(h, F.lit(3), size * 2)), 16, 10).cast("long")
+    value = F.conv(swap_hex(F.substring(h, F.lit(3), F.least(size, F.lit(4)) * 2)), 16, 10).cast("long")
     return F.when(size.between(1, 4) & (F.length(script) > size) & value.between(0, MAX_SCRIPT_HEIGHT), value)
 
 

@@ -119,7 +119,7 @@ def read_elastos_blocks(spark: SparkSession, path: str) -> DataFrame:
 
 def read_blobs(spark: SparkSession, path: str) -> DataFrame:
     """(file, blob) of files that hold one hex text each; blob is null where the text isn't hex."""
-    text = F.trim(F.decode("content", "ascii"))
+    text = F.trim(F.decode("content", "us-ascii"))
     return spark.read.format("binaryFile").load(path).select(F.element_at(F.split("path", "/"), -1).alias("file"), F.when(text.rlike("^([0-9A-Fa-f]{2})*$"), F.unhex(text)).alias("blob"))
 
 
