@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pegtrail.plans import captures, core, decide, payload, scalar, tree, trees
+from pegtrail.plans import captures, core, decide, payload, replays, scalar, tree, trees
 
 
-MODULES = (core, tree, trees, decide, captures, scalar, payload)
+MODULES = (core, tree, trees, decide, captures, replays, scalar, payload)
 
 
 def queries():
