@@ -153,6 +153,58 @@ def health_of(spark: SparkSession, table: str) -> DataFrame:
     return spark.read.parquet(table).groupBy("source_id").agg(F.sum("events").alias("events"), F.max("last_seen").alias("last_seen"))
 
 
+_SEEN = "event_id long, source_id long, parent_hash string, unknown boolean, confirmed_at long"
+_KINDS = ("near", "unknown", "canonical", "stale", "error_block")
+
+
+def _written(spark: SparkSession, folder: str, schema: str, below: int) -> DataFrame:
+    """Rows of the batches before `below` in a folder that may not be there yet."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    if not path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(f"{schema}, batch long").option("basePath", folder).parquet(folder).where(F.col("batch") < below).drop("batch")
+
+
+def health_diff_batch(table: str, block: Callable[[SparkSession], DataFrame]) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch sink that keeps source health up to date: what each batch changes, by source, in a folder of its own.
+
+    batch: event_id, source_id, parent_hash, parent_kind, confirmed_at of live events; block: gives (hash, kind, orphan_class). An
+    event that lands again, in the same batch or a later one, counts once. Parents are counted before and after the batch,
+    and only those that it touches are looked at: one that a source sees again adds nothing, one that turns from near to unknown moves.
+    A batch that is tried again writes its own folders anew and reads those before it alone.
+    """
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        seen = _written(spark, f"{table}/events", _SEEN, batch_id)
+        once = batch.groupBy("event_id").agg(F.min("source_id").alias("source_id"), F.min("parent_hash").alias("parent_hash"), F.bool_or(F.col("parent_kind") == "unknown").alias("unknown"), F.max("confirmed_at").alias("confirmed_at"))
+        new = once.join(seen.select("event_id"), "event_id", "left_anti")
+        new.write.mode("overwrite").parquet(f"{table}/events/batch={batch_id}")
+        new = spark.read.schema(_SEEN).parquet(f"{table}/events/batch={batch_id}")
+        touched = new.select("source_id", "parent_hash").distinct()
+        pairs = lambda rows: rows.groupBy("source_id", "parent_hash").agg(F.bool_or("unknown").alias("unknown"))
+        before = pairs(seen.join(touched, ["source_id", "parent_hash"], "left_semi")).select("source_id", "parent_hash", F.col("unknown").alias("was"))
+        both = pairs(new).join(before, ["source_id", "parent_hash"], "left")
+        named = both.join(block(spark).select(F.col("hash").alias("parent_hash"), "kind", "orphan_class"), "parent_hash", "left")
+        kind = lambda flag: F.coalesce("kind", F.when(flag, "unknown").otherwise("near"))
+        rows = named.select("source_id", "orphan_class", kind(F.col("unknown") | F.coalesce("was", F.lit(False))).alias("now"), F.when(F.col("was").isNotNull(), kind(F.col("was"))).alias("then"))
+        step = lambda test: F.sum(F.coalesce(test("now"), F.lit(False)).cast("long") - F.coalesce(test("then"), F.lit(False)).cast("long"))
+        orphan = lambda cls: step(lambda c: (F.col(c) == "unknown") & (F.col("orphan_class") == cls))
+        moved = rows.groupBy("source_id").agg(*[step(lambda c, k=k: F.col(c) == k).alias(k) for k in _KINDS], orphan("strict").alias("strict_orphan"), orphan("weak").alias("weak_orphan"))
+        counts = new.groupBy("source_id").agg(F.count("*").alias("events"), F.max("confirmed_at").alias("last_seen"))
+        counts.join(moved, "source_id").write.mode("overwrite").parquet(f"{table}/diffs/batch={batch_id}")
+
+    return write
+
+
+def health_now(spark: SparkSession, table: str, source: DataFrame) -> DataFrame:
+    """Source health as rollups.source_health() gives it, from the changes that health_diff_batch wrote."""
+    numbers = ("events", *_KINDS, "strict_orphan", "weak_orphan")
+    diffs = _written(spark, f"{table}/diffs", "source_id long, " + ", ".join(f"{c} long" for c in numbers) + ", last_seen long", 1 << 62)
+    sums = diffs.groupBy("source_id").agg(*[F.sum(c).alias(c) for c in numbers], F.max("last_seen").alias("last_seen"))
+    return source.select("source_id", "code").join(sums, "source_id", "left").select("source_id", "code", F.coalesce("events", F.lit(0)).alias("events"), "last_seen", *[F.coalesce(c, F.lit(0)).alias(c) for c in numbers[1:]])
+
+
 def spine_batch(spine: str) -> Callable[[DataFrame, int], None]:
     """A foreachBatch sink for canonical headers (hash, prev_hash, height): appends a batch, or fails on a conflict with the spine."""
     from pegtrail.operators.spine import spine_conflicts
@@ -163,12 +215,7 @@ def spine_batch(spine: str) -> Callable[[DataFrame, int], None]:
         low = own.agg(F.min("height").alias("lo")).first()["lo"]
         if low is None:
             return
-        try:
-            before = spark.read.schema("hash string, prev_hash string, height long").parquet(f"{spine}/batch=*").where(F.col("height") >= low - 1)
-        except Exception as error:  # noqa: BLE001  nothing written yet
-            if "PATH_NOT_FOUND" not in str(error):
-                raise
-            before = own.limit(0)
+        before = _written(spark, spine, "hash string, prev_hash string, height long", batch_id).where(F.col("height") >= low - 1)
         both = before.unionByName(own).distinct().withColumn("kind", F.lit("canonical"))
         bad = spine_conflicts(both).limit(1).collect()
         if bad:
