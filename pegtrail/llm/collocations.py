@@ -10,8 +10,9 @@ share of them: support times the shard's words over all words of the language, r
 that local support, level by level: a phrase is counted where both phrases of a word less are locally frequent. A shard is as
 large as the corpus makes it, is spread over all tasks and is never held by one: tasks count by 64-bit keys, Spark sums the
 keys. What is frequent in a shard goes to the tasks as a table of fixed size, whatever the corpus's size; keys or bits that
-meet let more phrases through and none less. The union of the shards' phrases is then counted over all texts, by the words
-themselves, and those of fewer than `support` occurrences go.
+meet let more phrases through and none less. The union of the shards' phrases, without those that can't reach the
+support even if all other shards just miss theirs, is then counted over all texts, by the words themselves, and those of
+fewer than `support` occurrences go.
 
 Memory: a task holds what Limits says and one such table (16 MB); so does the driver.
 
@@ -22,6 +23,7 @@ length are whole; ties are ordered by the phrase's bytes; only lang and text are
 from __future__ import annotations
 
 import hashlib
+import sys
 from typing import NamedTuple
 
 import numpy as np
@@ -40,9 +42,9 @@ class Limits(NamedTuple):
     """Bytes of text that are counted at a time, keys and phrases that a task holds before it gives its counts, bits of a
     table of frequent phrases (a power of two). Results don't depend on them."""
 
-    chunk: int = 8 << 20
-    keys: int = 2_000_000
-    phrases: int = 300_000
+    chunk: int = 2 << 20
+    keys: int = 1_000_000
+    phrases: int = 1_200_000
     bits: int = 1 << 27
 
 
@@ -69,13 +71,42 @@ def _chunks(batches, chunk: int):
         yield pa.Table.from_batches(held).combine_chunks()
 
 
+_LOW = np.arange(256, dtype=np.uint8)
+_LOW[65:91] += 32
+_PART = np.array([0x2545F4914F6CDD1D, 0x9FB21C651E98DF25], np.uint64)
+#: Words of more bytes are hashed one by one.
+_LONG = 512
+
+
+def _word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, which: int) -> np.ndarray:
+    """A 64-bit hash of each word, eight bytes at a time."""
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    eight = np.ndarray((len(data) + 1,), np.dtype("<u8"), buffer=padded, strides=(1,))  # the eight bytes from each place on
+    length = end - start
+    out = length.astype(np.uint64) * _PART[which]
+    todo, at = np.arange(len(start)), start
+    while len(todo):
+        left = end[todo] - at
+        rare = left > _LONG
+        if rare.any():
+            for i in todo[rare].tolist():
+                out[i] = int.from_bytes(hashlib.blake2b(data[start[i] : end[i]].tobytes(), digest_size=8, key=bytes([which + 1])).digest(), "little")
+            todo, at, left = todo[~rare], at[~rare], left[~rare]
+        held = eight[at] & (np.uint64(0xFFFFFFFFFFFFFFFF) >> (np.uint64(8) * (np.uint64(8) - np.minimum(left, 8).astype(np.uint64))))
+        out[todo] = mix((out[todo] ^ held) * _PART[which] + np.uint64(1))
+        more = left > 8
+        todo, at = todo[more], at[more] + 8
+    return out
+
+
 class Phrases:
     """The words of a chunk (lang, text, shard) and keys of its phrases, which hold the language and the length."""
 
     def __init__(self, chunk: pa.Table):
         texts = chunk.column("text").combine_chunks()
         data, at = text_bytes(texts if isinstance(texts, pa.Array) else pa.array([], pa.string()))
-        self.words = w = Words(data, at, lower=True, space=_APART)
+        data = _LOW[data]
+        self.words = w = Words(data, at, space=_APART)
         lang = chunk.column("lang").combine_chunks().dictionary_encode()
         self.names = lang.dictionary.to_pylist()
         self.langs = np.array([int.from_bytes(hashlib.blake2b(x.encode(), digest_size=8).digest(), "little") for x in self.names], np.uint64)
@@ -85,7 +116,7 @@ class Phrases:
         breaks = np.concatenate([[0], np.cumsum(_BREAK[data])])
         # how many words from each on follow within the piece: phrases of k words start where k - 1 words are joined
         self.joined = (of[1:] == of[:-1]) & (breaks[w.start[1:]] == breaks[w.end[:-1]]) if len(w) else np.zeros(0, bool)
-        self.windows = [Windows(w.hashes(which), which) for which in (0, 1)]
+        self.windows: dict[int, Windows] = {}
 
     def starts(self, k: int) -> np.ndarray:
         """Words at which a phrase of k words starts."""
@@ -95,11 +126,14 @@ class Phrases:
         return np.flatnonzero(ok)
 
     def keys(self, at: np.ndarray, k: int, which: int = 0) -> np.ndarray:
-        return mix(self.windows[which].at(at, k) + self.langs[self.lang[at]] + _ORDER[k])
+        if which not in self.windows:
+            w = self.words
+            self.windows[which] = Windows(_word_hashes(w.data, w.start, w.end, which), which)
+        return self.windows[which].at(at, k) ^ (self.langs[self.lang[at]] + _ORDER[k])
 
     def text(self, at: int, k: int) -> str:
         w = self.words
-        return b" ".join(w.data[w.start[i] : w.end[i]].tobytes() for i in range(at, at + k)).lower().decode("utf-8", "replace")
+        return b" ".join(w.data[w.start[i] : w.end[i]].tobytes() for i in range(at, at + k)).decode("utf-8", "replace")
 
 
 def _known(table: np.ndarray, bit: np.ndarray) -> np.ndarray:
@@ -114,7 +148,7 @@ def _local_bit(keys: np.ndarray, shard: np.ndarray) -> np.ndarray:
 def _summed(parts: list) -> list:
     """(lang, shard, key, n) arrays with each key of a shard once; a key holds its language."""
     lang, shard, key, n = (np.concatenate(c) for c in zip(*parts, strict=True))
-    order = np.lexsort((shard, key))
+    order = np.argsort(_local_bit(key, shard))
     lang, shard, key, n = lang[order], shard[order], key[order], n[order]
     first = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (shard[1:] != shard[:-1])])) if len(key) else np.zeros(0, np.int64)
     return [lang[first], shard[first], key[first], np.add.reduceat(n, first) if len(first) else n[:0]]
@@ -164,22 +198,54 @@ def _bits(rows: DataFrame, key: str, bits: int) -> np.ndarray:
     return out
 
 
+class _Held:
+    """Phrases that a task has counted: two keys and a count each, in the order of the first key, and the phrase itself once."""
+
+    def __init__(self):
+        self.key = self.other = np.zeros(0, np.uint64)
+        self.n = self.name = np.zeros(0, np.int64)
+        self.names: list[str] = []
+        self.langs: list[str] = []
+        self.words: dict[str, int] = {}
+
+    def add(self, key: np.ndarray, other: np.ndarray, n: np.ndarray, name_of) -> None:
+        place = np.searchsorted(self.key, key)
+        near = np.minimum(place, max(0, len(self.key) - 1))
+        there = (self.key[near] == key) & (self.other[near] == other) if len(self.key) else np.zeros(len(key), bool)
+        self.n[place[there]] += n[there]  # keys of one call differ, so no place comes twice
+        new = np.flatnonzero(~there)
+        at = place[new]
+        self.key, self.other, self.n = np.insert(self.key, at, key[new]), np.insert(self.other, at, other[new]), np.insert(self.n, at, n[new])
+        self.name = np.insert(self.name, at, len(self.names) + np.arange(len(new)))
+        for i in new.tolist():
+            lang, phrase = name_of(i)
+            self.langs.append(sys.intern(lang))
+            self.names.append(phrase)
+
+    def given(self):
+        for lang, n in self.words.items():
+            yield pa.RecordBatch.from_arrays([pa.array([lang], pa.string()), pa.array([""], pa.string()), pa.array([n], pa.int64())], names=["lang", "phrase", "n"])
+        for at in range(0, len(self.key), 50_000):
+            which = self.name[at : at + 50_000].tolist()
+            yield pa.RecordBatch.from_arrays([pa.array([self.langs[i] for i in which], pa.string()), pa.array([self.names[i] for i in which], pa.string()), pa.array(self.n[at : at + 50_000])], names=["lang", "phrase", "n"])
+
+
 def _count_phrases(docs: DataFrame, wanted: np.ndarray, limits: Limits) -> DataFrame:
-    """lang, phrase, n of all phrases that the table lets through; the empty phrase counts the language's words."""
+    """lang, phrase, n of all phrases that the table lets through; the empty phrase counts the language's words.
+
+    A task gives each of its phrases once, so it takes two splits of the input where there are more than cores: most phrases
+    are in many splits.
+    """
+    splits, cores = docs.rdd.getNumPartitions(), docs.sparkSession.sparkContext.defaultParallelism
+    docs = docs.coalesce(max(1, min(splits, max(cores, splits // 2))))
     table = docs.sparkSession.sparkContext.broadcast(wanted)
 
     def run(batches):
-        held: dict = {}
-
-        def given():
-            rows = [(lang, phrase, n) for (lang, phrase), n in held.items()]
-            for at in range(0, len(rows), 50_000):
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[at : at + 50_000], strict=True), (pa.string(), pa.string(), pa.int64()), strict=True)], names=["lang", "phrase", "n"])
-
+        held = _Held()
         for chunk in _chunks(batches, limits.chunk):
             p = Phrases(chunk)
-            for i, n in enumerate(np.bincount(p.lang, minlength=len(p.names))):
-                held[p.names[i], ""] = held.get((p.names[i], ""), 0) + int(n)
+            for i, n in enumerate(np.bincount(p.lang, minlength=len(p.names)).tolist()):
+                held.words[p.names[i]] = held.words.get(p.names[i], 0) + n
             for k in range(1, LONGEST + 1):
                 at = p.starts(k)
                 keys = p.keys(at, k)
@@ -187,27 +253,26 @@ def _count_phrases(docs: DataFrame, wanted: np.ndarray, limits: Limits) -> DataF
                 at, keys = at[kept], keys[kept]
                 if not len(at):
                     continue
-                order = np.argsort(keys, kind="stable")
-                at, keys, other = at[order], keys[order], p.keys(at[order], k, 1)
+                order = np.argsort(keys)
+                at, keys = at[order], keys[order]
+                other = p.keys(at, k, 1)
                 first = np.flatnonzero(np.concatenate([[True], (keys[1:] != keys[:-1]) | (other[1:] != other[:-1])]))
-                for i, n in zip(at[first].tolist(), np.diff(np.append(first, len(at))).tolist(), strict=True):
-                    name = p.names[p.lang[i]], p.text(i, k)
-                    held[name] = held.get(name, 0) + n
-            if len(held) > limits.phrases:
-                yield from given()
-                held.clear()
-        yield from given()
+                held.add(keys[first], other[first], np.diff(np.append(first, len(at))), lambda i, k=k, at=at[first]: (p.names[p.lang[at[i]]], p.text(at[i], k)))
+            if len(held.names) > limits.phrases:
+                yield from held.given()
+                held = _Held()
+        yield from held.given()
 
     return docs.mapInArrow(run, "lang string, phrase string, n long").groupBy("lang", "phrase").agg(F.sum("n").alias("n"))
 
 
-def phrase_counts(documents: DataFrame, support: int = 30, shards: int = 8, limits: Limits = Limits()) -> DataFrame:
+def phrase_counts(documents: DataFrame, support: int = 30, shards: int = 4, limits: Limits = Limits()) -> DataFrame:
     """lang, phrase, n: phrases of 1 to LONGEST words with at least `support` occurrences; the empty phrase has the language's words."""
     small_batches(documents.sparkSession)
     shared_dir(documents.sparkSession)
     text = F.coalesce("text", F.lit(""))
     docs = documents.select(F.coalesce("lang", F.lit("und")).alias("lang"), text.alias("text"), F.pmod(F.xxhash64(text), F.lit(shards)).cast("int").alias("shard"))
-    below, least, union = None, None, []
+    below, least, slack, union = None, None, None, []
     for k in range(1, LONGEST + 1):
         counts = _count_level(docs, k, below, limits)
         if least is None:
@@ -215,8 +280,11 @@ def phrase_counts(documents: DataFrame, support: int = 30, shards: int = 8, limi
             own = counts.groupBy("lang", "shard").agg(F.sum("n").cast("decimal(38,0)").alias("own"))
             every = own.groupBy("lang").agg(F.sum("own").cast("decimal(38,0)").alias("every"))
             least = own.join(every, "lang").select("lang", "shard", F.expr(f"cast(({support} * own + every - 1) div every as long)").alias("least")).checkpoint()
-        frequent = counts.join(least, ["lang", "shard"]).where("n >= least").select("shard", "key").checkpoint()
-        union.append(frequent.select("key"))
+            slack = least.groupBy("lang").agg((F.sum("least") - F.count("*")).alias("slack"))
+        frequent = counts.join(least, ["lang", "shard"]).where("n >= least").select("lang", "shard", "key", "n", "least").checkpoint()
+        # a shard without the phrase among its frequent ones has it less often than its local support
+        most = frequent.groupBy("lang", "key").agg(F.sum(F.col("n") - F.col("least") + 1).alias("most")).join(slack, "lang")
+        union.append(most.where(F.col("most") + F.col("slack") >= support).select("key"))
         below = _bits(frequent, f"key ^ (cast(shard as bigint) * {_SHARD}L)", limits.bits) if k < LONGEST else None
     keys = union[0]
     for more in union[1:]:
@@ -224,7 +292,7 @@ def phrase_counts(documents: DataFrame, support: int = 30, shards: int = 8, limi
     return _count_phrases(docs, _bits(keys, "key", limits.bits), limits).where(f"n >= {support} or phrase = ''")
 
 
-def collocations(documents: DataFrame, support: int = 30, held: int = 80, best: int = 2000, shards: int = 8, limits: Limits = Limits()) -> DataFrame:
+def collocations(documents: DataFrame, support: int = 30, held: int = 80, best: int = 2000, shards: int = 4, limits: Limits = Limits()) -> DataFrame:
     """lang, rank, phrase, a, l, r, n, score: each language's `best` phrases by score and a descending, then by phrase."""
     f = phrase_counts(documents, support, shards, limits).checkpoint()
     words = F.split("phrase", " ")
