@@ -239,6 +239,12 @@ def held_out(key: Column) -> Column:
     return F.crc32(F.coalesce(key.cast("string"), F.lit(""))) % 4 == 2
 
 
+#: Languages that a model may have: with 65,536 counts each the driver and every task hold 256 MB at most.
+MOST_LANGUAGES = 500
+
+
 def train(df: DataFrame, text: str = "text", lang: str = "lang") -> Model:
-    """A model of the rows of `df`."""
+    """A model of the rows of `df`; more than MOST_LANGUAGES values of `lang` raise an error."""
+    if df.select(lang).distinct().limit(MOST_LANGUAGES + 2).count() > MOST_LANGUAGES + 1:  # one may be null
+        raise ValueError(f"over {MOST_LANGUAGES} values of {lang}: a model of them would not fit in the driver's memory")
     return Model([tuple(r) for r in count_training(df, text, lang).collect()])

@@ -33,7 +33,8 @@ from pegtrail.llm.batches import map_slices, shared_dir, strings
 KINDS = ("email", "ip", "card", "phone", "secret", "ssn", "account", "name")
 BASE_KINDS = KINDS[:4]
 
-_IP = re.compile(r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)")
+#: A match that starts within a run of digits would also start at the run's first, so that only those are tried.
+_IP = re.compile(r"(?<![0-9])[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")

@@ -64,7 +64,7 @@ def test_addresses_are_the_patterns(spark):
 
 
 def test_long_texts_are_read_once():
-    for text in ("a" * 300_000 + "(at)", "a" * 300_000 + "@ " * 300, "Mr. Aa " * 40_000, "1-" * 100_000, "x@y.zz " * 30_000):
+    for text in ("a" * 300_000 + "(at)", "a" * 300_000 + "@ " * 300, "Mr. Aa " * 40_000, "1-" * 100_000, "x@y.zz " * 30_000, "7" * 1_000_000, "1." * 300_000):
         began = time.perf_counter()
         pii.wider_matches(text, [(s, e) for s, _, e, ok in pii.base_matches(text) if ok])
         assert time.perf_counter() - began < 10
@@ -115,3 +115,9 @@ def test_stages_of_odd_tables(spark, small, rows):
         if not rows:
             assert got == []
     assert re.fullmatch("[0-9a-f]{64}", byte_bpe.hashlib.sha256(b"").hexdigest())
+
+
+def test_too_many_languages_are_refused(spark):
+    rows = spark.range(600).selectExpr("cast(id as string) as lang", "'some words' as text")
+    with pytest.raises(ValueError, match="values of lang"):
+        language.train(rows)
