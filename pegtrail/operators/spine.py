@@ -189,21 +189,28 @@ def merge_windows(df: DataFrame, by: str = "group_id") -> DataFrame:
 def navigation_windows(targets: DataFrame, block: DataFrame, budget: int, pad: int = 16) -> DataFrame:
     """For each target height: the first window (low rising, then high falling) that is covered and has few side blocks.
 
-    targets: (target_id, height). A window goes from height - i to height + j, 0 <= i, j <= pad. Sums up to each height
-    are looked up for both ends, so no window is opened.
+    targets: (target_id, height). A window goes from height - i to height + j, 0 <= i, j <= pad, cut at 0. Each target meets
+    the heights around it once; which ends fit is read off running sums over them, within the target's row.
     """
-    lo = targets.select("target_id", "height", F.explode(F.sequence(F.lit(0), F.lit(pad))).alias("i"))
-    cand = lo.select("target_id", "height", F.greatest(F.col("height") - pad + F.col("i"), F.lit(0)).alias("low"), F.explode(F.sequence(F.lit(0), F.lit(pad))).alias("j")).select("target_id", (F.col("height") + pad - F.col("j")).alias("high"), "low").distinct()
-    around = targets.select("target_id", F.explode(F.sequence(F.greatest(F.col("height") - pad, F.lit(0)), F.col("height") + pad)).alias("height"))
-    spine = block.where("kind = 'canonical'").groupBy("height").agg(F.lit(1).alias("here"))
-    side = block.where("kind in ('stale', 'error_block')").groupBy("height").agg(F.count("*").alias("side"))
-    w = W.partitionBy("target_id").orderBy("height")
-    sums = around.join(spine, "height", "left").join(side, "height", "left").select("target_id", "height", F.sum(F.coalesce("here", F.lit(0))).over(w).alias("h"), F.sum(F.coalesce("side", F.lit(0))).over(w).alias("s"))
-    at = sums.groupBy("target_id").agg(F.map_from_entries(F.collect_list(F.struct("height", F.struct("h", "s").alias("v")))).alias("m"))
-    joined = cand.join(at, "target_id").withColumn("z", F.col("m")[F.col("high")]).withColumn("a", F.try_element_at("m", F.col("low") - 1))
-    here, off = F.col("z.h") - F.coalesce("a.h", F.lit(0)), F.col("z.s") - F.coalesce("a.s", F.lit(0))
-    good = joined.where((here == F.col("high") - F.col("low") + 1) & (off <= budget))
-    return good.groupBy("target_id").agg(F.min(F.struct("low", (-F.col("high")).alias("neg"))).alias("b")).select("target_id", F.col("b.low").alias("low"), (-F.col("b.neg")).alias("high"))
+    counts = block.where("height is not null and kind in ('canonical', 'stale', 'error_block')").groupBy("height").agg(F.bool_or(F.col("kind") == "canonical").alias("here"), F.count_if(F.col("kind") != "canonical").alias("side"))
+    around = targets.select("target_id", F.col("height").alias("own"), F.posexplode(F.sequence(F.col("height") - pad, F.col("height") + pad)).alias("at", "height"))
+    # heights below 0 are no gap: a window that starts there is one from 0
+    gap = (~F.coalesce("here", F.lit(False)) & (F.col("height") >= 0)).cast("int")
+    rows = around.join(counts, "height", "left").groupBy("target_id", "own").agg(F.array_sort(F.collect_list(F.struct("at", gap.alias("gap"), F.coalesce("side", F.lit(0)).alias("side")))).alias("a"))
+    zero = F.array(F.struct(F.lit(0).alias("gap"), F.lit(0).cast("long").alias("side")))
+    grown = lambda acc, x: F.concat(acc, F.array(F.struct((F.element_at(acc, -1)["gap"] + x["gap"]).alias("gap"), (F.element_at(acc, -1)["side"] + x["side"]).alias("side"))))
+    once = lambda value, use: F.get(F.transform(F.array(value), use), F.lit(0))  # noqa: E731  a value that `use` names often
+
+    def fits(s, i, k):
+        low, high = F.get(s, i), F.get(s, k + 1)
+        return (high["gap"] == low["gap"]) & (high["side"] - low["side"] <= budget)
+
+    # what fits up to a height fits up to every lower one, so that the first low is the first that fits up to the target
+    first = lambda s: F.get(F.filter(F.sequence(F.lit(0), F.lit(pad)), lambda i: fits(s, i, F.lit(pad))), F.lit(0))
+    last = lambda s, i: F.array_max(F.filter(F.sequence(F.lit(pad), F.lit(2 * pad)), lambda k: fits(s, i, k)))
+    ends = once(F.aggregate("a", zero, grown), lambda s: once(first(s), lambda i: F.when(i.isNotNull(), F.struct(i.alias("i"), last(s, i).alias("k")))))
+    found = rows.select("target_id", "own", F.explode(F.filter(F.array(ends), lambda w: w.isNotNull())).alias("w"))
+    return found.select("target_id", F.greatest(F.col("own") - pad + F.col("w.i"), F.lit(0)).alias("low"), (F.col("own") - pad + F.col("w.k")).alias("high"))
 
 
 def navigate_branches(branches: DataFrame, n: int, cursor: tuple | None = None, newer: bool = False, anchor: str | None = None) -> DataFrame:
