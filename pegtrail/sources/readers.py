@@ -77,6 +77,20 @@ def read_pools(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, Da
     return p.select("slug", F.col("canonical_name").alias("name")), p.select("slug", F.explode("coinbase_tags").alias("tag")), p.select("slug", F.explode("payout_addresses").alias("address"))
 
 
+def pool_problems(spark: SparkSession, path: str) -> DataFrame:
+    """(field, value, problem) of a pool snapshot that must not be loaded: another schema, no pools, and slugs, tags or addresses
+    that are empty or stand more than once in all of it. None means all is well."""
+    doc = spark.read.schema("schema_version int, pools array<struct<slug:string,coinbase_tags:array<string>,payout_addresses:array<string>>>").json(path, multiLine=True)
+    p = doc.select(F.explode("pools").alias("p")).select("p.*")
+    fields = {"slug": p.select(F.col("slug").alias("v")), "tag": p.select(F.explode("coinbase_tags").alias("v")), "address": p.select(F.explode("payout_addresses").alias("v"))}
+    found = doc.where("schema_version is null or schema_version <> 1").select(F.lit("schema_version").alias("field"), F.col("schema_version").cast("string").alias("value"), F.lit("unsupported").alias("problem"))
+    found = found.unionByName(doc.where(F.coalesce(F.size("pools"), F.lit(0)) <= 0).select(F.lit("pools").alias("field"), F.lit(None).cast("string").alias("value"), F.lit("empty").alias("problem")))
+    for field, values in fields.items():
+        bad = not_unique(values, "v").select(F.lit(field).alias("field"), F.col("v").alias("value"), F.when(F.coalesce(F.trim("v"), F.lit("")) == "", "empty").otherwise("repeated").alias("problem"))
+        found = found.unionByName(bad)
+    return found
+
+
 def not_unique(df: DataFrame, column: str) -> DataFrame:
     """Values of a column that are empty or stand more than once."""
     return df.groupBy(column).agg(F.count("*").alias("n")).where((F.col("n") > 1) | (F.coalesce(F.trim(column), F.lit("")) == ""))
@@ -117,10 +131,11 @@ def read_elastos_blocks(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(schema).json(path, multiLine=True)
 
 
-def read_blobs(spark: SparkSession, path: str) -> DataFrame:
-    """(file, blob) of files that hold one hex text each; blob is null where the text isn't hex."""
-    text = F.trim(F.decode("content", "us-ascii"))
-    return spark.read.format("binaryFile").load(path).select(F.element_at(F.split("path", "/"), -1).alias("file"), F.when(text.rlike("^([0-9A-Fa-f]{2})*$"), F.unhex(text)).alias("blob"))
+def read_blobs(spark: SparkSession, path: str, raw: bool = False) -> DataFrame:
+    """(file, blob) of files that hold one hex text each, null where the text isn't hex; with `raw` the files' bytes as they are."""
+    text = F.regexp_replace(F.decode("content", "iso-8859-1"), r"^\s+|\s+$", "")
+    blob = F.col("content") if raw else F.when(text.rlike("^([0-9A-Fa-f]{2})*$"), F.unhex(text))
+    return spark.read.format("binaryFile").load(path).select(F.element_at(F.split("path", "/"), -1).alias("file"), blob.alias("blob"))
 
 
 def read_core_headers(spark: SparkSession, path: str) -> DataFrame:
