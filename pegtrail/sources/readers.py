@@ -22,11 +22,13 @@ def publication_schema(chain: str) -> T.StructType:
     return T.StructType([T.StructField(c, T.StringType()) for c in columns] + [T.StructField("corrupt", T.StringType())])
 
 
-def read_publication(spark: SparkSession, path: str, chain: str) -> DataFrame:
-    """A chain's rows, read as strings and then typed; numbers that don't parse are null, and lines that don't fit are in `corrupt`."""
+def read_publication(spark: SparkSession, path: str, chain: str, typed: bool = True) -> DataFrame:
+    """A chain's rows, read as strings and then typed; numbers that don't parse are null, and lines that don't fit are in `corrupt`.
+
+    Without `typed` all columns stay the published text, as candidates.candidate_rows() wants them.
+    """
     raw = spark.read.schema(publication_schema(chain)).csv(path, header=True, enforceSchema=False, mode="PERMISSIVE", columnNameOfCorruptRecord="corrupt")
-    typed = {c: F.expr(f"try_cast({c} as {t})") for c, t in NUMBERS.items()}
-    return raw.withColumns(typed)
+    return raw.withColumns({c: F.expr(f"try_cast({c} as {t})") for c, t in NUMBERS.items()}) if typed else raw
 
 
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:

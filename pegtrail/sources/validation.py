@@ -31,11 +31,11 @@ def validate_rows(df: DataFrame) -> DataFrame:
 def validate_child(df: DataFrame) -> DataFrame:
     """Child bundles with `child_problem`, and the child's hash derived from its header where it has none.
 
-    The header must have 80 bytes and hash to the stored child hash; its time and bits must agree with the columns (one
-    chain keeps other bits in its header, so its bits aren't compared).
+    The header must have 80 bytes and hash to the child hash, both in wire order; its time and bits must agree with the
+    columns (one chain keeps other bits in its header, so its bits aren't compared).
     """
     header = F.unhex("child_header_hex")
-    d, own = scalars.decode_header(header), scalars.to_display(scalars.sha256d(header))
+    d, own = scalars.decode_header(header), F.lower(F.hex(scalars.sha256d(header)))
     has = F.col("child_header_hex").isNotNull()
     rules = [
         (has & (F.length(header) != 80), "length"), (has & F.col("child_block_hash").isNotNull() & (own != F.lower("child_block_hash")), "hash"), (has & (d["time"] != F.col("child_block_time")), "time"), (has & (F.col("chain") != "xaya") & (d["bits"] != F.col("child_nbits")), "bits"),

@@ -94,7 +94,7 @@ def test_headers_snapshots_and_payloads(spark, tmp_path):
 
 def test_child_bundles(spark):
     header = bytes(68) + (77).to_bytes(4, "little") + (88).to_bytes(4, "little") + bytes(4)
-    own = spark.createDataFrame([(header,)], "h binary").select(C.to_display(C.sha256d(F.col("h")))).first()[0]
+    own = spark.createDataFrame([(header,)], "h binary").select(F.lower(F.hex(C.sha256d(F.col("h"))))).first()[0]
     cases = [
         (header.hex(), None, 77, 88, "x", None), (header.hex(), own.upper(), None, None, "x", None), (header[:79].hex(), None, 77, 88, "x", "length"), (header.hex(), "ab" * 32, 77, 88, "x", "hash"), (header.hex(), own, 78, 88, "x", "time"), (header.hex(), own, 77, 89, "x", "bits"), (header.hex(), own, 77, 89, "xaya", None), (None, None, 1, 1, "x", None),
     ]
