@@ -27,6 +27,11 @@ def swap(data: Column) -> Column:
     return F.unhex(C.swap_hex(F.hex(data)))
 
 
+def _swap32(data: Column) -> Column:
+    """The bytes of a hash in reverse order, without a text in between."""
+    return _let(data, lambda x: F.concat(*[F.substring(x, i, 1) for i in range(32, 0, -1)]))
+
+
 def parse_proof(df: DataFrame, column: str = "proof", out: str = "p") -> DataFrame:
     """With `out`: the PROOF fields of a whole proof, null unless every byte of it is used."""
     importable(df.sparkSession)
@@ -160,11 +165,10 @@ def reconstruct_hathor(blocks: DataFrame) -> DataFrame:
     d = d.withColumn("_early", early)
     tries = d.where("_early is null and length(_prefix) > 2").select(
         "block_id", "_prefix", C.to_stored(F.col("block_hash")).alias("wanted"), F.substring("aux_pow", 1, 36).alias("first"), F.col("_x.head").alias("_head"), F.col("_x.tail").alias("_tail"), F.substring(F.col("aux_pow"), F.length("aux_pow") - 11, F.lit(12)).alias("last"), path.alias("path"),
-        F.explode(F.sequence(F.lit(2), F.length("_prefix") - 1)).alias("split"),
-    )
+    ).select("*", F.explode(F.sequence(F.lit(2), F.length("_prefix") - 1)).alias("split"))  # fmt: skip  what a block's splits share is worked out once
     sha = lambda c: F.unhex(F.sha2(c, 256))
     part = F.concat(sha(F.substring("_prefix", F.lit(1), F.col("split"))), sha(F.substring("_prefix", F.col("split") + 1, F.length("_prefix"))))
-    coinbase = F.concat("_head", swap(C.sha256d(part)), "_tail")
+    coinbase = F.concat("_head", _swap32(C.sha256d(part)), "_tail")
     header = F.concat("first", C.merkle_fold(C.sha256d(F.col("coinbase")), F.col("path"), F.lit(0)), "last")
     found = tries.withColumn("coinbase", coinbase).withColumn("header", header).where(C.sha256d(F.col("header")) == F.col("wanted"))
     best = found.groupBy("block_id").agg(F.min(F.struct("split", "header", "coinbase")).alias("f"))
