@@ -35,7 +35,7 @@ def rows(frame):
 
 
 #: One or two of each module: the driver compares all of them.
-SOME = ["parent_rollup", "representative", "nearest_canonical", "publication_category", "filter_unknown", "attribute_parent", "navigate_branches", "parent_gaps", "repair_candidates", "competitions", "delta_histogram", "build_proofs", "source_health", "height_at_time", "match_tags", "islands", "reduce_nodes", "nearest_strip", "stale_branches", "place_components", "cascade", "infer_stale", "classify_parents", "effective", "merge_events", "orphan_verdict", "decode_headers", "verify_slots"]
+SOME = ["parent_rollup", "representative", "nearest_canonical", "publication_category", "filter_unknown", "attribute_parent", "navigate_branches", "parent_gaps", "repair_candidates", "competitions", "delta_histogram", "build_proofs", "source_health", "height_at_time", "match_tags", "islands", "reduce_nodes", "nearest_strip", "stale_branches", "place_components", "cascade", "infer_stale", "classify_parents", "effective", "merge_events", "orphan_verdict", "decode_headers", "verify_slots", "resolve_windows", "verify_commitments", "capture_rsk", "rsk_contradictions"]
 
 
 @pytest.mark.parametrize("name", SOME)
