@@ -159,6 +159,18 @@ def test_lines_of_a_common_key(spark):
     assert got == set(range(60, 80)) == removed_by_brute_force(lines)
 
 
+def test_lines_of_one_template(spark):
+    """Lines that share all words but one with very many, of which each has one near copy, find it, whatever the key's size."""
+    rng = random.Random(6)
+    word = lambda k: "".join(rng.choices("abcdefghijklmnop", k=k))
+    common, docs = [word(3) for _ in range(11)], []
+    for k in range(100):
+        own = word(rng.randint(22, 26))
+        docs += [(2 * k, " ".join([*common[:6], own, *common[6:]])), (2 * k + 1, " ".join([*common[:6], own[:9] + "z" + own[10:], *common[6:]]))]
+    got = {r["doc_id"] for r in line_dedup.removed_lines(frame(spark, docs)).collect() if r["n_removed"]}
+    assert got == {2 * k + 1 for k in range(100)}
+
+
 def test_digest_is_of_utf8(spark):
     out = substring_dedup.digest(substring_dedup.drop_repeats(frame(spark, [(1, "é  ü\nx")]))).first()
     assert out["kept_sha256"] == hashlib.sha256("é ü x".encode()).hexdigest()
