@@ -171,6 +171,19 @@ def test_lines_of_one_template(spark):
     assert got == {2 * k + 1 for k in range(100)}
 
 
+def test_long_lines_of_one_template(spark):
+    """Long lines of which half is common to very many, and each has a near copy whose edits are all in its own half, find it by the common half."""
+    rng = random.Random(8)
+    word = lambda k: "".join(rng.choices("abcdefghijklmnop", k=k))
+    common, docs = [word(5) for _ in range(30)], []
+    for k in range(40):
+        own = [word(5) for _ in range(30)]
+        docs.append((2 * k, " ".join([*common, *own])))
+        docs.append((2 * k + 1, " ".join([*common, *(w[:2] + "z" + w[3:] if i % 3 == 1 else w for i, w in enumerate(own))])))
+    got = {r["doc_id"] for r in line_dedup.removed_lines(frame(spark, docs)).collect() if r["n_removed"]}
+    assert got == {2 * k + 1 for k in range(40)}
+
+
 def test_digest_is_of_utf8(spark):
     out = substring_dedup.digest(substring_dedup.drop_repeats(frame(spark, [(1, "é  ü\nx")]))).first()
     assert out["kept_sha256"] == hashlib.sha256("é ü x".encode()).hexdigest()
