@@ -171,6 +171,40 @@ def test_lines_of_one_template(spark):
     assert got == {2 * k + 1 for k in range(100)}
 
 
+def line_keys(spark, lines):
+    """The keys of each line, by its place."""
+    return {r["id"]: set(r["keys"]) for r in line_dedup.marked_lines(frame(spark, list(enumerate(lines)))).select("id", "keys").collect()}
+
+
+def test_lines_that_share_common_words_alone_share_no_key(spark):
+    """Else each such line is marked, read again and paired with all others, on disk and in time."""
+    rng = random.Random(17)
+    lines = []
+    for _ in range(100):
+        w = ["the", "of", "and", "in", "to", "is", "was", "for"] + ["".join(rng.choices("abcdefghij", k=9)) for _ in range(6)]
+        lines.append(" ".join(rng.sample(w, len(w))))
+    keys = line_keys(spark, lines)
+    assert len(set().union(*keys.values())) == sum(map(len, keys.values()))
+
+
+def test_lines_with_a_tenth_of_words_changed_share_a_key(spark):
+    """Words put in, left out and changed at random, up to a tenth of the longer line's; some lines have few different words."""
+    rng = random.Random(18)
+    word = lambda v: "".join(rng.choices("abcdefgh", k=rng.randint(1, 2 if v else 7)))
+    lines = []
+    for i in range(600):
+        few = [word(True) for _ in range(rng.randint(1, 3))] if i % 4 == 0 else None
+        own = lambda: rng.choice(few) if few else word(i % 3)
+        w = [own() for _ in range(rng.randint(10, 39))]
+        v = list(w)
+        for _ in range(len(w) // 10):
+            at = rng.randrange(len(v))
+            v[at : at + rng.randint(0, 1)] = [word(False)] if rng.random() < 0.6 or len(v) <= 10 else []
+        lines += [" ".join(w), " ".join(v)] if len(v) <= 39 else []
+    keys = line_keys(spark, lines)
+    assert len(lines) > 1000 and all(keys[i] & keys[i + 1] for i in range(0, len(lines), 2))
+
+
 def test_long_lines_of_one_template(spark):
     """Long lines of which half is common to very many, and each has a near copy whose edits are all in its own half, find it by the common half."""
     rng = random.Random(8)
