@@ -3,6 +3,7 @@ import random
 
 import pytest
 from brute import edit_distance, ngram_groups, normal_line, repeats_removed, union_find
+from pyspark.sql import functions as F
 
 from pegtrail.llm import components, line_dedup, ngram_join, substring_dedup
 
@@ -248,3 +249,39 @@ def test_lines_with_changed_words(spark):
                 parent[max(x, y)] = min(x, y)
     want = {i for i in range(len(lines)) if find(i) != i}
     assert got == want and len(want) > 45
+
+
+def filler_lines(n):
+    """Lines of 60 words that have four windows in common, each line at another place."""
+    rng = random.Random(21)
+    word = lambda: "".join(rng.choices("abcdefghijklmnop", k=6))
+    phrase, lines = [word() for _ in range(16)], []
+    for i in range(n):
+        own = [word() for _ in range(44)]
+        at = 22 * i % 44
+        lines.append(" ".join([*own[:at], *phrase, *own[at:]]))
+    return lines
+
+
+def test_lines_with_a_phrase_at_other_places_are_not_paired(spark):
+    """Nor are lines with it at the same place whose letters are too far apart; a line with the phrase twice is in reach at both places."""
+    docs = frame(spark, list(enumerate(filler_lines(40))))
+    marked = line_dedup.marked_lines(docs)
+    each = marked.select("lid", "len", F.explode("keys").alias("key")).distinct()
+    lids = each.select("lid").distinct()
+    text = line_dedup.norms(lids, lids.count(), marked, docs)
+    placed = line_dedup.with_places(each, text)
+    shared = placed.join(placed.groupBy("key").count().where("count = 40").select("key"), "key")
+    spots = shared.groupBy("key").agg(F.countDistinct("lo")).collect()
+    assert spots and all(r[1] == 2 for r in spots) and shared.where("lo <> hi or lo < 0").isEmpty()
+    left = line_dedup.still_apart(shared, spark.createDataFrame([], "node long, component long"))
+    assert 0 < line_dedup.pairs_left(left, text).count() <= 2 * 20 * 19 // 2
+    phrase = " ".join(filler_lines(1)[0].split(" ")[:16])
+    twice = f"{phrase} {'x ' * 40}{phrase}"
+    assert [r for r in line_dedup.with_places(*one_line(spark, twice)).where("hi > lo").collect()]
+
+
+def one_line(spark, line):
+    docs = frame(spark, [(1, line)])
+    marked = line_dedup.marked_lines(docs)
+    return marked.select("lid", "len", F.explode("keys").alias("key")).distinct(), line_dedup.norms(marked.select("lid"), 1, marked, docs)
