@@ -13,6 +13,8 @@ EPOCH_BLOCKS = 2016
 #: The merge-mining marker, and bounds of a height in a coinbase script.
 AUX_MAGIC = "FABE6D6D"
 MAX_SCRIPT_HEIGHT = 2_000_000
+#: Years that are plausible.
+FIRST_YEAR, LAST_YEAR = 2009, 2100
 MASK32 = (1 << 32) - 1
 
 
@@ -82,12 +84,12 @@ def pow_child_valid(parent_hash: Column, child_bits: Column) -> Column:
     return pow_valid(parent_hash, child_bits)
 
 
-def bip34_height(script: Column) -> Column:
-    """The height that a coinbase script starts with: a push of 1 to 4 bytes, little-endian, up to the bound."""
+def bip34_height(script: Column, most: int = MAX_SCRIPT_HEIGHT) -> Column:
+    """The height that a coinbase script starts with: a push of 1 to 4 bytes, little-endian, up to the bound `most`."""
     h = F.hex(script)
     size = F.conv(F.substring(h, 1, 2), 16, 10).cast("int")
     value = F.conv(swap_hex(F.substring(h, F.lit(3), F.least(size, F.lit(4)) * 2)), 16, 10).cast("long")
-    return F.when(size.between(1, 4) & (F.length(script) > size) & value.between(0, MAX_SCRIPT_HEIGHT), value)
+    return F.when(size.between(1, 4) & (F.length(script) > size) & value.between(0, most), value)
 
 
 def aux_marker(script: Column) -> Column:
@@ -145,7 +147,7 @@ def day_start(seconds: Column) -> Column:
     return F.floor(seconds / 86400) * 86400
 
 
-def era_year(seconds: Column, first: int = 2009, last: int = 2100) -> Column:
+def era_year(seconds: Column, first: int = FIRST_YEAR, last: int = LAST_YEAR) -> Column:
     """The UTC year, or null if it isn't plausible."""
     year = F.year(F.timestamp_seconds(seconds))
     return F.when(year.between(first, last), year)

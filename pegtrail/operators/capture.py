@@ -92,13 +92,13 @@ def merkle_root(ids: Column) -> Column:
     return F.get(F.aggregate(levels, ids, lambda level, _: F.when(F.size(level) > 1, pair(level)).otherwise(level)), F.lit(0))
 
 
-def attach_child_coinbase(proofs: DataFrame, blocks: DataFrame) -> DataFrame:
+def attach_child_coinbase(proofs: DataFrame, blocks: DataFrame, most: int = C.MAX_SCRIPT_HEIGHT) -> DataFrame:
     """Proofs (proof_id, child_hash, child_height) with the coinbase of their full child block, and `outcome`.
 
     blocks: header (80 bytes), txids (array, wire order), first_is_coinbase, coinbase_script, coinbase_outputs. A block counts if
     its ids fold to its header's root and its first transaction is a coinbase; it joins by its header's own hash. Outcomes:
     attached, no_block, or what is wrong with the block: merkle_root, not_coinbase. A height that the proof lacks is taken from
-    the script. Blocks that land again are one.
+    the script, up to `most`. Blocks that land again are one.
     """
     bad = F.when(F.coalesce(merkle_root(F.col("txids")) != F.substring("header", 37, 32), F.lit(True)), "merkle_root").when(~F.coalesce("first_is_coinbase", F.lit(False)), "not_coinbase")
     full = blocks.select(C.sha256d(F.col("header")).alias("child_hash"), F.struct(bad.isNotNull().alias("wrong"), bad.alias("problem"), F.get("txids", F.lit(0)).alias("child_coinbase_txid"), F.col("coinbase_script").alias("child_coinbase_script"), F.col("coinbase_outputs").alias("child_coinbase_outputs")).alias("b"))
@@ -107,7 +107,7 @@ def attach_child_coinbase(proofs: DataFrame, blocks: DataFrame) -> DataFrame:
     good = F.col("b.wrong") == F.lit(False)
     take = lambda c: F.when(good, F.col(f"b.{c}")).alias(c)
     return j.select(
-        *[c for c in proofs.columns if c != "child_height"], F.coalesce("child_height", F.when(good, C.bip34_height(F.col("b.child_coinbase_script")))).alias("child_height"), take("child_coinbase_txid"), take("child_coinbase_script"), take("child_coinbase_outputs"),
+        *[c for c in proofs.columns if c != "child_height"], F.coalesce("child_height", F.when(good, C.bip34_height(F.col("b.child_coinbase_script"), most))).alias("child_height"), take("child_coinbase_txid"), take("child_coinbase_script"), take("child_coinbase_outputs"),
         F.when(F.col("b").isNull(), "no_block").when(good, "attached").otherwise(F.col("b.problem")).alias("outcome"),
     )
 
