@@ -149,8 +149,8 @@ def reconstruct_hathor(blocks: DataFrame) -> DataFrame:
     implies, the split that gives them, and `outcome`.
 
     A block's head is `funds_graph`, or what comes before the proof in `raw`. Which of its bytes are funds and which are graph
-    isn't said: of all splits the first whose header has the block's hash is taken. Splits are rows, hashed where the block is
-    read; only those that match are shuffled. Outcomes: ok, too_large, malformed, no_prefix, prefix_size, no_marker, no_split.
+    isn't said: of all splits the first whose header has the block's hash is taken; they are hashed one after the other where the
+    block is read, and nothing is shuffled. Outcomes: ok, too_large, malformed, no_prefix, prefix_size, no_marker, no_split.
     """
     d = blocks.withColumn("_x", _hathor_proof(F.col("aux_pow")))
     latin = lambda c: F.decode(F.col(c), "ISO-8859-1")
@@ -161,20 +161,21 @@ def reconstruct_hathor(blocks: DataFrame) -> DataFrame:
         F.when(F.length("aux_pow") > MOST_PROOF, "too_large").when(F.col("_x").isNull(), "malformed").when(F.col("_prefix").isNull(), "no_prefix").when(~F.length("_prefix").between(2, MOST_PREFIX), "prefix_size").when(~marked, "no_marker")
         .when(F.coalesce(F.length("block_hash") != 64, F.lit(True)), "no_split")
     )
-    path = F.transform(F.when(F.col("_x.steps") > 0, F.sequence(F.lit(0), F.col("_x.steps") - 1)).otherwise(F.array().cast("array<int>")), lambda i: swap(F.substring(F.col("_x.path"), 32 * i + 1, F.lit(32))))
-    d = d.withColumn("_early", early)
-    tries = d.where("_early is null and length(_prefix) > 2").select(
-        "block_id", "_prefix", C.to_stored(F.col("block_hash")).alias("wanted"), F.substring("aux_pow", 1, 36).alias("first"), F.col("_x.head").alias("_head"), F.col("_x.tail").alias("_tail"), F.substring(F.col("aux_pow"), F.length("aux_pow") - 11, F.lit(12)).alias("last"), path.alias("path"),
-    ).select("*", F.explode(F.sequence(F.lit(2), F.length("_prefix") - 1)).alias("split"))  # fmt: skip  what a block's splits share is worked out once
-    sha = lambda c: F.unhex(F.sha2(c, 256))
-    part = F.concat(sha(F.substring("_prefix", F.lit(1), F.col("split"))), sha(F.substring("_prefix", F.col("split") + 1, F.length("_prefix"))))
-    coinbase = F.concat("_head", _swap32(C.sha256d(part)), "_tail")
-    header = F.concat("first", C.merkle_fold(C.sha256d(F.col("coinbase")), F.col("path"), F.lit(0)), "last")
-    found = tries.withColumn("coinbase", coinbase).withColumn("header", header).where(C.sha256d(F.col("header")) == F.col("wanted"))
-    best = found.groupBy("block_id").agg(F.min(F.struct("split", "header", "coinbase")).alias("f"))
+    path = F.transform(F.when(F.col("_x.steps") > 0, F.sequence(F.lit(0), F.col("_x.steps") - 1)).otherwise(F.array().cast("array<int>")), lambda i: _swap32(F.substring(F.col("_x.path"), 32 * i + 1, F.lit(32))))
+
+    @F.arrow_udf("struct<split:int,header:binary,coinbase:binary>")
+    def searched(prefix: pa.Array, wanted: pa.Array, first: pa.Array, head: pa.Array, tail: pa.Array, last: pa.Array, path: pa.Array) -> pa.Array:
+        from pegtrail.functions.proofs import hathor_split
+
+        rows = zip(*[x.to_pylist() for x in (prefix, wanted, first, head, tail, last, path)], strict=True)
+        return pa.array([hathor_split(*r) if r[0] and r[1] else None for r in rows], pa.struct([("split", pa.int32()), ("header", pa.binary()), ("coinbase", pa.binary())]))
+
+    importable(blocks.sparkSession)
+    open_ = lambda c: F.when(F.col("_early").isNull(), c)
+    d = d.withColumn("_early", early).withColumn("f", searched(*[open_(c) for c in (F.col("_prefix"), C.to_stored(F.col("block_hash")), F.substring("aux_pow", 1, 36), F.col("_x.head"), F.col("_x.tail"), F.substring(F.col("aux_pow"), F.length("aux_pow") - 11, F.lit(12)), path)]))
     outcome = F.coalesce("_early", F.when(F.col("f").isNull(), "no_split").otherwise("ok"))
     ok = outcome == "ok"
-    return d.join(best, "block_id", "left").select(*blocks.columns, F.length("_prefix").alias("prefix_size"), *[F.when(ok, F.col(f"f.{c}")).alias(c) for c in ("split", "header", "coinbase")], outcome.alias("outcome"))
+    return d.select(*blocks.columns, F.length("_prefix").alias("prefix_size"), *[F.when(ok, F.col(f"f.{c}")).alias(c) for c in ("split", "header", "coinbase")], outcome.alias("outcome"))
 
 
 def _bare(column: str) -> Column:

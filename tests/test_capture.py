@@ -198,3 +198,10 @@ def test_sources_document_is_refused(spark):
     assert [(r["violations"], r["counts"]) for r in shown] == [(1, None)]
     with pytest.raises(Exception, match="miss their target"):
         payloads.sources_payload(event, block, source, 10).collect()
+
+
+def test_hathor_splits_are_no_rows(spark):
+    """Splits are tried in place, so that a block is one row throughout: none is exploded, shuffled or joined back."""
+    schema = "block_id int, block_hash string, raw binary, funds_graph binary, aux_pow binary"
+    plan = K.reconstruct_hathor(spark.createDataFrame([], schema))._jdf.queryExecution().optimizedPlan().toString()
+    assert not any(step in plan for step in ("Generate", "Join", "Aggregate"))
