@@ -47,3 +47,14 @@ def test_no_blocks(spark, chain):
     empty = chain[2].where("false")
     assert [tuple(r) for r in joins.height_at_time(empty, chain[3].where("t = 0 or t is null")).collect() if r["t"] is None] == [(None, None, None)]
     assert {(r["height"], r["off"]) for r in joins.nearest_canonical(empty, chain[3]).collect()} == {(None, None)}
+
+
+def test_epochs(spark, chain):
+    """Rows of equal times, on a start, before all, above the horizon and without a time; no row reads all epochs."""
+    epochs = [(i * 2016, 50_000 * i * i) for i in range(12)] + [(30_000, 50_000)]
+    rows = [(i, t) for i, t in enumerate([*chain[1], 50_000, 50_000, 200_000, -5, None])]
+    df = spark.createDataFrame(rows, "i long, time long")
+    found = joins.epoch_asof(df, spark.createDataFrame(epochs, "epoch long, start_time long"), 500_000)
+    want = {(i, max(((s, e) for e, s in epochs if s <= t), default=(0, None))[1] if t is not None and t <= 500_000 else None) for i, t in rows}
+    assert {(r["i"], r["epoch"]) for r in found.collect()} == want and found.columns == ["i", "time", "epoch"]
+    assert "collect_list" not in found._jdf.queryExecution().optimizedPlan().toString()
